@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import language_id, license_scan, packing, quality_rules
+from brindle.llm import language_id, license_scan, packing, quality_pu, quality_rules, warc
 from brindle.llm.common import in_fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -17,6 +17,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("blocks")
 
@@ -25,6 +30,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_crc(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op6_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), in_fold(4, 2)
+    net = quality_pu.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return quality_pu.score(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = in_fold(5, 0)
@@ -38,7 +49,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_license_scan, op5_packing, op7_language_id, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc, op4_license_scan, op5_packing, op6_quality_pu, op7_language_id, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

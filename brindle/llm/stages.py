@@ -13,8 +13,8 @@ from brindle.llm.queries import tokenizer_path
 def language_id_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language can be told (`und`) go; all others stay, with every column as it was."""
     model = language_id.fit(docs, ~in_fold(5, 0))
-    found = language_id.predict(docs, model, keep=tuple(docs.columns))
-    return found.filter(F.col("lang_pred") != language_id.UND).select(*docs.columns)
+    whole = docs.select("doc_id", "text", F.struct("*").alias("whole"))
+    return language_id.predict(whole, model, keep=("whole",)).filter(F.col("lang_pred") != language_id.UND).select("whole.*")
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
