@@ -80,10 +80,10 @@ def rolling(values: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
     """Hashes of all runs of n consecutive values; run i starts at value i. Runs across texts are included."""
     if len(values) < n:
         return np.empty(0, np.uint64)
-    state, out, last = np.uint64(seed), np.zeros(len(values) - n + 1, np.uint64), len(values) - n + 1
+    state, out, last = seed, np.zeros(len(values) - n + 1, np.uint64), len(values) - n + 1
     for j in range(n):
-        state = state * np.uint64(6364136223846793005) + np.uint64(1442695040888963407)
-        out += values[j : j + last] * (state | np.uint64(1))
+        state = (state * 6364136223846793005 + 1442695040888963407) % (1 << 64)
+        out += values[j : j + last] * np.uint64(state | 1)
     return mix(out)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import language_id, license_scan, packing, quality_pu, quality_rules, warc
+from brindle.llm import language_id, license_scan, packing, quality_pu, quality_rules, substring_dedup, warc
 from brindle.llm.common import in_fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +22,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return cut.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("blocks")
 
@@ -49,7 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op4_license_scan, op5_packing, op6_quality_pu, op7_language_id, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc, op2_substring_dedup, op4_license_scan, op5_packing, op6_quality_pu, op7_language_id, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
