@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm.columnar import Words, mix, plain, rolling, run_starts, sliced, words
-from brindle.llm.common import new_path, written
+from brindle.llm.common import keyed, new_path, written
 
 #: Words of a run whose least hash is a window's fingerprint.
 K = 6
@@ -238,18 +238,6 @@ class Index:
         self.runs = [self._write(first.select("fp", "span", "first.key", "first.pos").repartition(self.parts, "fp"))]
 
 
-def keyed(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, bool]:
-    """key (long, in the documents' order), text, row (all columns), and whether keys are unique: the id itself where it can be."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.struct("*").alias("row"))
-    integral = isinstance(docs.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
-    if integral and not rows.groupBy("id").count().filter("id is null or count > 1").limit(1).collect():
-        return rows.select(F.col("id").cast("long").alias("key"), "text", "row"), True
-    hashed = rows.withColumn("hash", F.xxhash64("text"))
-    order = hashed.select("id", "hash").distinct().orderBy("id", "hash")
-    numbered = written(order.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF(T.StructType([T.StructField("n_id", docs.schema[id_col].dataType), T.StructField("n_hash", T.LongType()), T.StructField("key", T.LongType())])), "keys")
-    return hashed.join(numbered, F.col("id").eqNullSafe(F.col("n_id")) & F.col("hash").eqNullSafe(F.col("n_hash"))).select("key", "text", "row"), False
-
-
 def _cut(docs: DataFrame, n: int) -> DataFrame:
     """key, text, places, row -> row, n_words, n_removed, kept_text."""
     schema = T.StructType([docs.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
