@@ -28,6 +28,8 @@ from brindle.llm.common import written
 
 #: Distinct words that are tokenised as one text, split by a special token.
 GLUED = 256
+#: Words whose ids a worker keeps; about 60 MB.
+KNOWN = 300_000
 
 
 @cache
@@ -38,34 +40,75 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def word_ids(distinct: list[str], path: str, glue: str) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of every word, end to end, and their bounds.
+def _encoded(distinct: list[str], path: str, glue: str) -> list[bytes]:
+    """The ids of each word as unsigned 32-bit numbers.
 
-    This tokenizer drops white space and never joins across it, so a text's ids are those of its words in turn. Words are
-    tokenised many at a time with a special token between them, which splits any text exactly there.
+    Words are tokenised many at a time with a special token between them, which splits any text exactly there.
     """
     t = _tokenizer(path)
     mark = t.token_to_id(glue)
-    clean = [i for i, w in enumerate(distinct) if glue not in w]
-    ids: list[np.ndarray] = [np.empty(0, np.uint32)] * len(distinct)
-    texts = [glue.join(distinct[i] for i in clean[a : a + GLUED]) for a in range(0, len(clean), GLUED)]
-    parts, counts = [], np.zeros(len(distinct), np.int64)
-    for a, e in zip(range(0, len(clean), GLUED), t.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-        own = np.asarray(e.ids, np.uint32)
-        at = np.flatnonzero(own == mark)
-        edges = np.concatenate([[-1], at, [len(own)]])
-        counts[clean[a : a + GLUED]] = np.diff(edges) - 1
-        parts.append(own[own != mark])
-    odd = [i for i, w in enumerate(distinct) if glue in w]
-    if not odd:
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        return np.concatenate([*parts, np.empty(0, np.uint32)]), bounds
-    flat = np.concatenate([*parts, np.empty(0, np.uint32)])
-    for i, own in zip(clean, np.split(flat, np.cumsum(counts[clean])[:-1]), strict=True) if clean else ():
-        ids[i] = own
-    for i, e in zip(odd, t.encode_batch([distinct[i] for i in odd], add_special_tokens=False), strict=True):
-        ids[i] = np.asarray(e.ids, np.uint32)
-    return np.concatenate([*ids, np.empty(0, np.uint32)]), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+    out: list[bytes] = []
+    for a in range(0, len(distinct), GLUED):
+        own = distinct[a : a + GLUED]
+        text = glue.join(own)
+        if text.count(glue) != len(own) - 1:  # the special token stands within a word
+            out += [np.asarray(e.ids, np.uint32).tobytes() for e in t.encode_batch(own, add_special_tokens=False)]
+            continue
+        ids = np.asarray(t.encode(text, add_special_tokens=False).ids, np.uint32)
+        edges = np.concatenate([[-1], np.flatnonzero(ids == mark), [len(ids)]])
+        raw = ids.tobytes()
+        out += [raw[4 * (x + 1) : 4 * y] for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    return out
+
+
+_known: dict[tuple[str, str], dict[str, bytes]] = {}
+
+
+def word_ids(distinct: list[str], path: str, glue: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of every word, end to end, and their bounds.
+
+    This tokenizer drops white space and never joins across it, so a text's ids are those of its words in turn. A worker
+    keeps the ids of the first KNOWN words that it meets; frequent ones are among them.
+    """
+    known = _known.setdefault((path, glue), {})
+    new = [w for w in distinct if w not in known]
+    fresh = dict(zip(new, _encoded(new, path, glue), strict=True))
+    for w, ids in fresh.items():
+        if len(known) >= KNOWN:
+            break
+        if len(w) <= 64:
+            known[w] = ids
+    own = [known.get(w) if w in known else fresh[w] for w in distinct]
+    counts = np.fromiter(map(len, own), np.int64, len(own)) // 4
+    return np.frombuffer(b"".join(own), np.uint32), np.concatenate([[0], np.cumsum(counts)])
+
+
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(33, 127) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122)]] = True
+
+
+def folded(texts: pa.Array) -> pa.Array:
+    """The same texts for this tokenizer, with fewer distinct words: A-Z in lower case, a space between a letter and an ASCII mark.
+
+    The tokenizer lower-cases, always ends a piece after a run of letters, and drops white space, so no id changes. Only a
+    special token's own text could be torn; a batch with its first two characters is left as it is.
+    """
+    _, offsets, data = texts.buffers()
+    if not len(texts) or data is None or not data.size:
+        return texts
+    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
+    if b"<|" in raw.tobytes():
+        return texts
+    raw = _FOLD[raw]
+    gap = np.flatnonzero(_LETTER[raw[:-1]] & _MARK[raw[1:]]) + 1
+    moved = bounds - bounds[0]
+    moved = moved + np.searchsorted(gap, moved, "left")
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(moved), pa.py_buffer(np.insert(raw, gap, 32))])
 
 
 def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -76,7 +119,7 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def text_ids(texts: pa.Array, path: str, glue: str, end_id: int) -> list[bytes]:
     """The ids of each text and the end id, as little-endian unsigned 32-bit numbers."""
-    w = words(texts)
+    w = words(folded(texts))
     flat, bounds = word_ids(w.distinct.to_pylist(), path, glue)
     counts = np.diff(bounds)[w.codes]
     ids = flat[spread(bounds[:-1][w.codes], counts)].astype("<u4")
@@ -94,7 +137,7 @@ def tokenised(docs: DataFrame, path: str, glue: str, end_id: int, id_col: str =
         from pyspark import TaskContext
 
         part, total = TaskContext.get().partitionId(), 0
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=8 << 20):
             ids = text_ids(plain(batch.column(1)), path, glue, end_id)
             n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(total + np.cumsum(n) - n), pa.array(ids, pa.binary())], names=schema.names)
@@ -119,7 +162,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, glue:
     schema = T.StructType([T.StructField("doc_id", id_type), *[T.StructField(*x) for x in kinds]])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "ids"):
+        for batch in sliced(batches, "ids", 8 << 20):
             all_ids = batch.column(1).to_pylist()
             n = np.fromiter((len(x) // 4 for x in all_ids), np.int64, len(all_ids))
             first = np.asarray(batch.column(2))
