@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import language_id, license_scan, near_dup, packing, quality_pu, quality_rules, substring_dedup, warc
+from brindle.llm import decontaminate, language_id, license_scan, near_dup, packing, quality_pu, quality_rules, substring_dedup, warc
 from brindle.llm.common import in_fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -53,13 +53,17 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", F.col("class_key").alias("class_id"), "kept")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_substring_dedup, op4_license_scan, op5_packing, op6_quality_pu, op7_language_id, op8_near_dup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc, op2_substring_dedup, op4_license_scan, op5_packing, op6_quality_pu, op7_language_id, op8_near_dup, op9_decontamination, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import language_id, packing
-from brindle.llm.common import in_fold
+from brindle.llm import decontaminate, language_id, near_dup, packing, substring_dedup
+from brindle.llm.common import in_fold, table, written
 from brindle.llm.queries import tokenizer_path
 
 
@@ -17,5 +17,28 @@ def language_id_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.predict(whole, model, keep=("whole",)).filter(F.col("lang_pred") != language_id.UND).select("whole.*")
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the least id stays."""
+    return near_dup.near_dup(docs).filter("kept").select("row.*")
+
+
+def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Text that a window of 20 words repeats from an earlier place goes; the kept words are joined by spaces and counted anew.
+
+    A document that loses nothing keeps its text as it was; one that loses all its words goes.
+    """
+    cut = substring_dedup.substring_dedup(docs)
+    cut = cut.filter("n_removed = 0 or n_removed < n_words")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
+    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)}
+    return cut.select(*[new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark item in them go."""
+    hits = written(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "hits")
+    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+
+
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.with_crc(packing.pack(docs, tokenizer_path()))

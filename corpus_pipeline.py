@@ -9,6 +9,9 @@ from brindle.llm.common import table, written
 
 STAGES = [
     ("language_id", stages.language_id_stage),
+    ("near_dedup", stages.near_dedup_stage),
+    ("substring_dedup", stages.substring_dedup_stage),
+    ("decontaminate", stages.decontaminate_stage),
     ("pack", stages.pack_stage),
 ]
 
