@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import new_path, written
+from brindle.llm.common import new_path
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.0\r\n"
@@ -131,8 +131,8 @@ def records(pages: DataFrame, least: int = 0, id_col: str = "page_id", url: str
     return hint.join(again.hint("merge"), F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("key") == F.col("again_key")), "left").select("page_id", "url", "html", "refers_to")
 
 
-def write_monolithic(rows: DataFrame, folder: str, roll: int = 1 << 30, date: str = "2025-01-01T00:00:00Z", level: int = 4) -> DataFrame:
-    """Writes the rows of records(); gives archive, n_records. A file of more than `roll` inflated bytes is followed by another."""
+def write_monolithic(rows: DataFrame, folder: str, roll: int = 1 << 30, date: str = "2025-01-01T00:00:00Z", level: int = 4) -> list[tuple]:
+    """Writes the rows of records(); gives (archive, n_records) of each. A file of more than `roll` inflated bytes is followed by another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -159,48 +159,56 @@ def write_monolithic(rows: DataFrame, folder: str, roll: int = 1 << 30, date: st
             yield end()
 
     ordered = rows.withColumns({"page_id": F.col("page_id").cast("string"), "refers_to": F.col("refers_to").cast("string")}).sortWithinPartitions("page_id", "url")
-    return written(ordered.mapInArrow(run, "archive string, n_records long"), "archives")
+    return [tuple(r) for r in ordered.mapInArrow(run, "archive string, n_records long").collect()]
 
 
-INDEX = "archive string, offset long, length long, type string, record_id string, target string"
-INDEX_NAMES = [x.split()[0] for x in INDEX.split(", ")]
+def _dealt(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A task for each row."""
+    return spark.createDataFrame(rows, schema).coalesce(1).repartition(max(1, len(rows)))
 
 
-def normalise(archives: DataFrame, level: int = 6) -> DataFrame:
-    """Rewrites each monolithic archive with a member for each record and a sidecar index; gives the index rows.
+SPANS = "archive string, cdx_offset long, cdx_length long, n_records long"
 
-    The column `archive` names files; the new ones lie beside them, without `.mono`.
+
+def normalise(spark: SparkSession, archives: list[str], level: int = 6, span: int = 16 << 20) -> list[tuple]:
+    """Rewrites each monolithic archive with a member for each record and a sidecar index, beside it and without `.mono`.
+
+    Gives spans: (archive, offset and length in the sidecar, records), one for each `span` bytes of members. That is a row
+    for many megabytes of data, so the driver can hold them all; the index itself stays in the sidecars.
     """
 
-    def one(path: str) -> Iterator[pa.RecordBatch]:
+    def one(path: str) -> Iterator[tuple]:
         goal = path.replace(".mono.warc.gz", ".warc.gz")
         source, at = _open(path)
-        out, sidecar, rows = Whole(goal), Whole(goal.removesuffix(".warc.gz") + ".cdx"), []
-        batch = lambda: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k in (1, 2) else pa.string()) for k in range(6)], names=INDEX_NAMES)
+        out, sidecar, first, since, n = Whole(goal), Whole(goal.removesuffix(".warc.gz") + ".cdx"), 0, 0, 0
         with source.open_input_stream(at, compression=None) as file:
             for data in split_records(inflated(file)):
                 fields, _ = parse(data[: data.index(b"\r\n\r\n") + 4])
                 z = _gzip(level)
                 member = z.compress(data) + z.flush()
-                rows.append((goal, out.at, len(member), fields["WARC-Type"], fields["WARC-Record-ID"], fields.get("WARC-Target-URI")))
-                sidecar.write("\t".join("" if x is None else str(x) for x in rows[-1][1:]).encode() + b"\n")
+                row = (out.at, len(member), fields["WARC-Type"], fields["WARC-Record-ID"], fields.get("WARC-Target-URI") or "")
+                sidecar.write("\t".join(map(str, row)).encode() + b"\n")
                 out.write(member)
-                if len(rows) >= 8192:
-                    yield batch()
-                    rows = []
+                n += 1
+                if out.at - since >= span:
+                    yield goal, first, sidecar.at - first, n
+                    first, since, n = sidecar.at, out.at, 0
+        if n:
+            yield goal, first, sidecar.at - first, n
         out.close()
         sidecar.close()
-        yield batch()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column(0).to_pylist():
-                yield from one(path)
+                rows = list(one(path))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k else pa.string()) for k in range(4)], names=names)
 
-    return written(archives.select("archive").repartition(F.col("archive")).mapInArrow(run, INDEX), "index")
+    names = [x.split()[0] for x in SPANS.split(", ")]
+    return [tuple(r) for r in _dealt(spark, [(x,) for x in sorted(archives)], "archive string").mapInArrow(run, SPANS).collect()]
 
 
-def read(index: DataFrame, span: int = 64 << 20) -> DataFrame:
+def read(spark: SparkSession, spans: list[tuple]) -> DataFrame:
     """page_id (text), type, url, payload (null for a revisit), payload_bytes, payload_digest, refers_to (text), from single members.
 
     A response whose payload doesn't have the digest that its header states is an error.
@@ -210,36 +218,37 @@ def read(index: DataFrame, span: int = 64 << 20) -> DataFrame:
     bare = lambda x: x[len(ID) + 1 : -1] or None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, file = None, None
         for b in batches:
-            rows, held = [], 0
-            for archive, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if archive != path:
-                    source, at = _open(archive)
-                    path, file = archive, source.open_input_file(at)
-                fields, block = parse(zlib.decompress(file.read_at(length, offset), 31))
-                http, _, payload = block.partition(b"\r\n\r\n")
-                stated = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                if response := fields["WARC-Type"] == "response":
-                    if digest(payload) != stated:
+            for archive, cdx_offset, cdx_length, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                source, at = _open(archive)
+                sidecar = source.open_input_file(at.removesuffix(".warc.gz") + ".cdx").read_at(cdx_length, cdx_offset)
+                file, rows, held = source.open_input_file(at), [], 0
+                for line in sidecar.split(b"\n")[:-1]:
+                    offset, length = map(int, line.split(b"\t", 2)[:2])
+                    fields, block = parse(zlib.decompress(file.read_at(length, offset), 31))
+                    http, _, payload = block.partition(b"\r\n\r\n")
+                    stated = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                    response = fields["WARC-Type"] == "response"
+                    if response and digest(payload) != stated:
                         raise ValueError(f"{archive} at {offset}: the payload doesn't have its digest")
-                size = int(re.search(rb"Content-Length: (\d+)", http)[1])
-                rows.append((bare(fields["WARC-Record-ID"]), fields["WARC-Type"], fields.get("WARC-Target-URI"), payload if response else None, size, stated, None if response else bare(fields["WARC-Refers-To"])))
-                held += len(payload)
-                if held >= 16 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
-                    rows, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+                    size = int(re.search(rb"Content-Length: (\d+)", http)[1])
+                    rows.append((bare(fields["WARC-Record-ID"]), fields["WARC-Type"], fields.get("WARC-Target-URI"), payload if response else None, size, stated, None if response else bare(fields["WARC-Refers-To"])))
+                    held += len(payload)
+                    if held >= 8 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+                        rows, held = [], 0
+                file.close()
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
     types = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string()]
-    placed = index.select("archive", "offset", "length").repartition(F.col("archive"), (F.col("offset") / span).cast("long")).sortWithinPartitions("archive", "offset")
-    return placed.mapInArrow(run, schema)
+    return _dealt(spark, spans, SPANS).mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, least: int = 0, folder: str | None = None, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Writes all pages, normalises the archives and reads them back by their index."""
-    folder = folder or new_path(pages.sparkSession, "warc")
-    index = normalise(write_monolithic(records(pages, least, id_col, url, html), folder))
+    spark = pages.sparkSession
+    folder = folder or new_path(spark, "warc")
+    archives = write_monolithic(records(pages, least, id_col, url, html), folder)
+    back = read(spark, normalise(spark, [x for x, _ in archives]))
     kind = pages.schema[id_col].dataType
-    back = read(index)
     return back.withColumns({"page_id": F.col("page_id").cast(kind), "refers_to": F.col("refers_to").cast(kind)})
