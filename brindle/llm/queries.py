@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontaminate, language_id, license_scan, near_dup, packing, quality_pu, quality_rules, substring_dedup, warc
+from brindle.llm import decontaminate, language_id, license_scan, near_dup, packing, quality_pu, quality_rules, recurrent_lm, substring_dedup, warc
 from brindle.llm.common import in_fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -27,6 +27,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("blocks")
 
@@ -63,7 +67,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_substring_dedup, op4_license_scan, op5_packing, op6_quality_pu, op7_language_id, op8_near_dup, op9_decontamination, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_recurrent_lm, op4_license_scan, op5_packing, op6_quality_pu, op7_language_id, op8_near_dup, op9_decontamination, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
