@@ -59,14 +59,24 @@ def words(texts: pa.Array) -> Words:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about `most` bytes of text: what one step holds in memory is bounded by that or one row."""
+    """The same rows in batches of about `most` bytes of text: what one step holds in memory is bounded by that or one row.
+
+    Small batches are joined, since many words at once have fewer distinct ones among them.
+    """
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0), np.int64)
-        cut = np.cumsum(sizes) // most
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(cut)) + 1, [len(sizes)]])
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if b > a:
-                yield batch.slice(a, b - a)
+        start = 0
+        for k in np.flatnonzero(np.diff((size + np.cumsum(sizes)) // most, prepend=size // most)).tolist():
+            held.append(batch.slice(start, k + 1 - start))
+            yield pa.concat_batches(held) if len(held) > 1 else held[0]
+            held, start = [], k + 1
+        if start < len(sizes):
+            held.append(batch.slice(start))
+        size = (size + int(sizes.sum())) % most
+    if held:
+        yield pa.concat_batches(held) if len(held) > 1 else held[0]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -92,3 +102,9 @@ def run_starts(bounds: np.ndarray, n: int) -> np.ndarray:
     counts = np.diff(bounds)
     room = np.maximum(counts - n + 1, 0)
     return np.repeat(bounds[:-1] - (np.cumsum(room) - room), room) + np.arange(room.sum())
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places starts[k] .. starts[k] + counts[k] - 1 for all k in turn."""
+    before = np.cumsum(counts) - counts
+    return np.repeat(starts - before, counts) + np.arange(counts.sum())

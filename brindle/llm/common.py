@@ -33,10 +33,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    long_rows(df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that the Parquet reader and Arrow hold at once, where a row is a whole document. Spark's own figures are for short rows.
+ROWS_AT_ONCE = {"spark.sql.parquet.columnarReaderBatchSize": 512, "spark.sql.execution.arrow.maxRecordsPerBatch": 1000}
+
+
+def long_rows(df: DataFrame) -> DataFrame:
+    """df, with the session set to hold fewer of its rows at once; a lower setting stays."""
+    for k, most in ROWS_AT_ONCE.items():
+        if int(df.sparkSession.conf.get(k, None) or most + 1) > most:
+            df.sparkSession.conf.set(k, str(most))
+    return df
+
+
 def id_text(col: Column | str = "doc_id") -> Column:
     """The id as text; a null id counts as the empty text."""
     return F.coalesce(F.col(col).cast("string") if isinstance(col, str) else col.cast("string"), F.lit(""))
@@ -47,8 +59,19 @@ def in_fold(folds: int, fold: int, col: Column | str = "doc_id") -> Column:
     return (F.crc32(id_text(col)) % folds) == fold
 
 
+def bounded_sample(df: DataFrame, rows: int, by: str) -> DataFrame:
+    """At most `rows` rows: those with the least values of `by`, a 64-bit hash. The same rows in every run.
+
+    A count fixes a hash limit that about one and a half times as many rows stay under, so that no task sends more than its share.
+    """
+    n = df.count()
+    if n > 2 * rows:
+        df = df.filter(F.col(by) <= int(-(1 << 63) + (1 << 64) * 1.5 * rows / n))
+    return df.orderBy(by).limit(rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return long_rows(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def keyed(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, bool]:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm.columnar import Words, plain, sliced, words
-from brindle.llm.common import id_text
+from brindle.llm.common import bounded_sample, id_text, long_rows
 from brindle.llm.gru import Adam, back, glorot, new_layer, step
 
 WINDOW = 16
@@ -132,7 +132,7 @@ class ByteBiGru:
 def fit(docs: DataFrame, train: Column, fit_docs: int = 2000, id_col: str = "doc_id", text: str = "text", label: str = "lang") -> ByteBiGru | None:
     """Learns from at most fit_docs rows of the condition `train` with text and label; None if there is none."""
     rows = docs.filter(train & F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"), F.xxhash64(id_text(id_col)).alias("h"))
-    rows = rows.orderBy("h", "text", "label").limit(fit_docs).collect()  # at most fit_docs rows
+    rows = bounded_sample(rows, fit_docs, "h").collect()
     labels = sorted({r["label"] for r in rows})
     counts: dict[str, Counter] = {k: Counter() for k in labels}
     for r in rows:
@@ -167,4 +167,4 @@ def predict(docs: DataFrame, model: ByteBiGru | None, id_col: str = "doc_id", te
                 score = np.where(has, prob.max(1), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name, pa.string()), pa.array(np.clip(score, 0.0, 1.0)), *batch.columns[2:]], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), *keep).mapInArrow(run, schema)
+    return long_rows(docs).select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), *keep).mapInArrow(run, schema)

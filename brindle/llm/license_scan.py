@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm.columnar import plain, sliced, words
+from brindle.llm.common import long_rows
 
 #: The base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -83,7 +84,7 @@ def template_frequencies(docs: DataFrame, templates=TEMPLATES, text: str = "text
             total += np.bincount(pairs % len(vocabulary), minlength=len(vocabulary))
         yield pa.RecordBatch.from_arrays([pa.array(vocabulary), pa.array(total)], names=["word", "n"])
 
-    return docs.select(text).withColumnRenamed(text, "text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return long_rows(docs).select(text).withColumnRenamed(text, "text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Matcher:
@@ -173,4 +174,4 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] =
             )
 
     parts = {x for ws, _ in phrase_words for x in ws}
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return long_rows(docs).select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.columnar import plain, sliced, words
-from brindle.llm.common import written
+from brindle.llm.columnar import plain, sliced, spread, words
+from brindle.llm.common import long_rows, written
 
 #: Distinct words that are tokenised as one text, split by a special token.
 GLUED = 256
@@ -111,12 +111,6 @@ def folded(texts: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(moved), pa.py_buffer(np.insert(raw, gap, 32))])
 
 
-def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The places starts[k] .. starts[k] + counts[k] - 1 for all k in turn."""
-    before = np.cumsum(counts) - counts
-    return np.repeat(starts - before, counts) + np.arange(counts.sum())
-
-
 def text_ids(texts: pa.Array, path: str, glue: str, end_id: int) -> list[bytes]:
     """The ids of each text and the end id, as little-endian unsigned 32-bit numbers."""
     w = words(folded(texts))
@@ -143,7 +137,7 @@ def tokenised(docs: DataFrame, path: str, glue: str, end_id: int, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(total + np.cumsum(n) - n), pa.array(ids, pa.binary())], names=schema.names)
             total += int(n.sum())
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return long_rows(docs).select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, glue: str = "<|startoftext|>", id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm.columnar import plain, sliced, words
-from brindle.llm.common import id_text
+from brindle.llm.common import bounded_sample, id_text, long_rows
 from brindle.llm.gru import Adam, glorot, sigmoid
 
 SHAPES = 96
@@ -166,18 +166,39 @@ def fit_samples(pos: np.ndarray, unl: np.ndarray, labelled: np.ndarray, quality:
     return net
 
 
+def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep` and `x`, the measures of the column text."""
+    schema = T.StructType([*[docs.schema[k] for k in keep], T.StructField("x", T.ArrayType(T.FloatType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            x = features(plain(batch.column(0)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], names=schema.names)
+
+    return long_rows(docs).select("text", *keep).mapInArrow(run, schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = 4000, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> Net | None:
-    """Learns from rows of the condition `train` (over the id) alone; None without positives."""
-    source = docs.filter(train).select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(id_text(id_col), F.lit(1)).alias("h"))
+    """Learns from rows of the condition `train` (over the id) alone; None without positives.
+
+    Samples are drawn from ids; only their rows' texts are read, and measured where they lie.
+    """
+    ids = docs.filter(train & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(id_text(id_col), F.lit(1)).alias("h"))
     known = labels.filter(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.max(label).cast("int").alias("y"))
-    marked = source.join(known, source["doc_id"] == known["label_id"]).select("text", "y", "h")
-    take = lambda df: df.orderBy("h", "text").limit(fit_rows).collect()  # noqa: E731  at most fit_rows rows
-    pos, rest, unl = take(marked.filter("y = 1")), take(marked.filter("y = 0")), take(source.select("text", "h"))
-    if not pos or not unl:
+    marked = ids.join(known, ids["id"] == known["label_id"]).select("id", "y", "h")
+    samples = [(bounded_sample(marked.filter(f"y = {y}"), fit_rows, "h"), kind) for y, kind in ((1, 1), (0, 0))]
+    samples.append((bounded_sample(ids, fit_rows, "h"), -1))
+    chosen = [s.select("id", F.lit(kind).alias("kind")).distinct() for s, kind in samples]
+    chosen = chosen[0].union(chosen[1]).union(chosen[2])  # at most 3 * fit_rows rows
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("text", "kind")
+    rows = measured(rows, ["kind"]).limit(4 * fit_rows).collect()  # ids that repeat could give more
+    by = {k: np.array([r["x"] for r in rows if r["kind"] == k], np.float32).reshape(-1, N_FEATURES) for k in (1, 0, -1)}
+    by = {k: x[np.lexsort(x.T)] for k, x in by.items()}  # whatever order they came in
+    if not len(by[1]) or not len(by[-1]):
         return None
-    measured = lambda rows: features(plain(pa.array([r["text"] for r in rows], pa.large_string())))
-    p, n = measured(pos), measured(rest)
-    return fit_samples(p, measured(unl), np.concatenate([p, n]), np.repeat([1, 0], [len(p), len(n)]))
+    shuffled = {k: np.random.default_rng(2).permutation(x) for k, x in by.items()}
+    return fit_samples(shuffled[1], shuffled[-1], np.concatenate([by[1], by[0]]), np.repeat([1, 0], [len(by[1]), len(by[0])]))
 
 
 def score(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,4 +210,4 @@ def score(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text: str =
             s = np.full(batch.num_rows, 0.5) if net is None else net.scores(features(plain(batch.column(1)))).astype(np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return long_rows(docs).select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm.columnar import Words, mix, plain, rolling, run_starts, sliced, words
-from brindle.llm.common import keyed, new_path, written
+from brindle.llm.common import keyed, long_rows, new_path, written
 
 #: Words of a run whose least hash is a window's fingerprint.
 K = 6
@@ -126,7 +126,7 @@ def fingerprints(docs: DataFrame, n: int) -> DataFrame:
             key = np.asarray(batch.column(0))[text]
             yield _entries(fp.view(np.int64), span.view(np.int64), key, (lo - w.bounds[text]) * SPAN + count, np.where(twice, MIXED, FIRST))
 
-    return docs.select("key", "text").mapInArrow(run, f"{ENTRY}, kind byte")
+    return long_rows(docs).select("key", "text").mapInArrow(run, f"{ENTRY}, kind byte")
 
 
 def windows_of(docs: DataFrame, n: int) -> DataFrame:
@@ -257,7 +257,7 @@ def _cut(docs: DataFrame, n: int) -> DataFrame:
             texts = [" ".join([vocabulary[c] for c in codes[a:b]]) for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(w.counts()), pa.array(w.counts() - np.diff(before)), pa.array(texts, pa.string())], names=schema.names)
 
-    return docs.select("key", "text", "places", "row").mapInArrow(run, schema)
+    return long_rows(docs).select("key", "text", "places", "row").mapInArrow(run, schema)
 
 
 def substring_dedup(docs: DataFrame, n: int = 20, batches: int = 2, parts: int | None = None, index: Index | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
