@@ -9,7 +9,8 @@ Texts with the same words are one class and only its least document goes on. Eac
 that agree in a band meet in a bucket. No bucket is ever paired out: every member is compared with the bucket's least, links
 make components, and only where a bucket still holds several components are members of different ones compared, in blocks,
 if their samples agree often enough (a pair of similarity 0.8 falls below that with a chance of about 1 in 5000).
-All candidates are verified on whole texts. No partner or candidate is ever capped.
+All candidates are verified on whole texts. No partner or candidate is ever capped. Joins that move texts or samples are
+merge joins at every size, so what a small table shows holds for a large one.
 
 Defined results: texts without a word are classes of their own; ids that are null or repeated are ordered by (id, text
 hash), and fully repeated rows share a class; an empty table gives none; other columns may have any name.
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm.columnar import Words, mix, plain, rolling, run_starts, sliced, words
-from brindle.llm.common import keyed, written
+from brindle.llm.common import keyed, long_rows, written
 from brindle.llm.components import components
+from brindle.llm.substring_dedup import Hashes
 
 SHINGLE = 5
 BANDS, ROWS = 14, 4
@@ -59,22 +61,13 @@ def shingles(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text[first], value[first], np.diff(np.append(first, len(text)))
 
 
-def identities(rows: DataFrame) -> DataFrame:
-    """key, h1, h2, n_words: two independent hashes of all words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from brindle.llm.substring_dedup import Hashes
-
-        for batch in sliced(batches):
-            w = words(plain(batch.column(1)))
-            h = Hashes(w)
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h.a) * (2 * np.arange(len(h.a), dtype=np.uint64) + np.uint64(1)))])
-            a, b = w.bounds[:-1], w.bounds[1:]
-            plain_sum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h.a))])
-            h2 = mix(total[b] - total[a] - np.uint64(2) * a.astype(np.uint64) * (plain_sum[b] - plain_sum[a]))  # places count from the text's start
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.ranges(a, b).view(np.int64)), pa.array(h2.view(np.int64)), pa.array(w.counts())], names=["key", "h1", "h2", "n_words"])
-
-    return rows.select("key", "text").mapInArrow(run, "key long, h1 long, h2 long, n_words long")
+def identities(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of all words of each text."""
+    h = Hashes(w)
+    a, b = w.bounds[:-1], w.bounds[1:]
+    once = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h.a))])
+    placed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h.a) * np.arange(1, len(h.a) + 1, dtype=np.uint64))])
+    return h.ranges(a, b), mix(placed[b] - placed[a] - a.astype(np.uint64) * (once[b] - once[a]))  # places count from the text's start
 
 
 def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
@@ -109,7 +102,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
             out.append((*at, total.tobytes(), n))
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int32(), pa.int32(), pa.binary(), pa.int64()), strict=True)], names=["part", "lane", "counts", "n"])
 
-    sums = rows.select("text").mapInArrow(count, schema)
+    sums = long_rows(rows).select("text").mapInArrow(count, schema)
     for keys in (["part", "lane"], ["part"]):
         lane = F.col("lane") if len(keys) == 2 else F.lit(0)
         sums = sums.withColumn("lane", lane).repartition(*[F.col(k) for k in keys]).sortWithinPartitions("part", "lane").mapInArrow(add, schema)
@@ -175,7 +168,7 @@ class Sampler:
 
 
 def signatures(rows: DataFrame, table: np.ndarray) -> DataFrame:
-    """key, samples (SAMPLES uint32), buckets (a hash for each band) of the rows with a shingle."""
+    """key, h1, h2, n_words, samples (SAMPLES integers), buckets (a hash for each band) of every text."""
     table = rows.sparkSession.sparkContext.broadcast(table)  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,12 +180,11 @@ def signatures(rows: DataFrame, table: np.ndarray) -> DataFrame:
             band = mix(np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None], w.n_texts, 0))
             for j in range(ROWS):
                 band = mix(band ^ (own[:, j::ROWS].astype(np.uint64) + np.uint64(j)))
-            has = np.flatnonzero(w.counts() > 0)
-            flat = pa.array(band[has].view(np.int64).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * BANDS), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(has)), pa.array([x.tobytes() for x in own[has]], pa.binary()), lists], names=["key", "samples", "buckets"])
+            h1, h2 = identities(w)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(w.n_texts + 1, dtype=np.int32) * k), pa.array(x.ravel())) for k, x in ((SAMPLES, own.view(np.int32)), (BANDS, band.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(w.counts()), *lists], names=["key", "h1", "h2", "n_words", "samples", "buckets"])
 
-    return rows.select("key", "text").mapInArrow(run, "key long, samples binary, buckets array<long>")
+    return long_rows(rows).select("key", "text").mapInArrow(run, "key long, h1 long, h2 long, n_words long, samples array<int>, buckets array<long>")
 
 
 def similarity(a: pa.Array, b: pa.Array, table: np.ndarray) -> np.ndarray:
@@ -220,29 +212,36 @@ def verified(pairs: DataFrame, texts: DataFrame, table: np.ndarray, threshold: f
                 s = similarity(plain(one.column(2)), plain(one.column(3)), table.value)
                 yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), pa.array(s)], names=["a", "b", "similarity"]).filter(pa.array(s >= threshold))
 
-    with_a = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    with_a = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    with_b = with_a.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
 def _met(members: DataFrame) -> DataFrame:
-    """Members (bucket, key, component, samples) dealt to blocks of about BLOCK; every two blocks of a bucket meet in a group (bucket, x, y)."""
+    """Members (bucket, band, key, component, samples) dealt to blocks of about BLOCK; every two blocks of a bucket meet in a group (bucket, x, y)."""
     sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     meet = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return meet.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "key", "component", "samples")
+    return meet.select("bucket", "band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "key", "component", "samples")
 
 
 def _agreeing(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows of a group, each with those of other components whose samples agree with its own; every pair once."""
+    """Rows of a group, each with those of other components whose samples agree with its own.
+
+    Every pair comes once, in the first band that it shares, however many buckets it meets in.
+    """
     key, component, own = (np.asarray(group.column(c).combine_chunks()) for c in ("key", "component", "own"))
-    samples = np.frombuffer(b"".join(group.column("samples").to_pylist()), np.uint32).reshape(-1, SAMPLES)
+    samples = np.asarray(group.column("samples").combine_chunks().flatten()).reshape(-1, SAMPLES)
+    band = group.column("band")[0].as_py()
     x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
     right = np.flatnonzero(own == y)
     for i in np.flatnonzero(own == x):
         j = right[component[right] != component[i]]
         j = j[key[j] > key[i]] if x == y else j
-        j = j[(samples[j] == samples[i]).sum(1) >= AGREE]
+        same = samples[j] == samples[i]
+        enough = same.sum(1) >= AGREE
+        j, same = j[enough], same[enough]
+        j = j[same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band] if len(j) else j
         if len(j):
             yield i, j
 
@@ -305,39 +304,42 @@ def _verifier(threshold: float):
 
 def cross_links(members: DataFrame, texts: DataFrame, table: np.ndarray, threshold: float) -> DataFrame:
     """a, b: links between members of one bucket and different components, enough to join all components that any link joins."""
-    kinds = "bucket long, x int, y int, own int, key long, component long, samples binary"
+    kinds = "bucket long, band int, x int, y int, own int, key long, component long, samples array<int>"
     agreed = written(_met(members).groupBy("bucket", "x", "y").applyInArrow(_agree, kinds), "agreed")
     own = packed(texts.join(agreed.select("key").distinct(), "key", "left_semi"), table)
     return agreed.join(own, "key").groupBy("bucket", "x", "y").applyInArrow(_verifier(threshold), "a long, b long").distinct()
 
 
-def near_classes(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """key, class_key (least key of the component) for rows (key, text, ...); keys that repeat have one text."""
-    known = written(identities(rows), "identities")
-    full = known.filter("n_words > 0")
+def near_classes(rows: DataFrame, threshold: float = 0.8, repeated: bool = False) -> DataFrame:
+    """key, class_key (least key of the component) for rows (key, text, ...), one row for each key; keys that repeat have one text."""
+    table = idf(*document_frequencies(rows))
+    signed = written(signatures(rows, table), "signatures").dropDuplicates(["key"]) if repeated else written(signatures(rows, table), "signatures")
+    full = signed.filter("n_words > 0")
     lead = full.groupBy("h1", "h2").agg(F.min("key").alias("lead"))
-    member = full.select("key", "h1", "h2").distinct().join(lead, ["h1", "h2"]).select("key", "lead")
-    texts = rows.select("key", "text").join(lead.select(F.col("lead").alias("key")), "key", "left_semi").dropDuplicates(["key"])
-    texts = written(texts, "texts")
-    table = idf(*document_frequencies(texts))
-    signed = written(signatures(texts, table), "signatures")
-    placed = signed.select("key", F.explode("buckets").alias("bucket"))
+    member = full.select("key", "h1", "h2").join(lead, ["h1", "h2"]).select("key", "lead")
+    leads = signed.join(lead.select(F.col("lead").alias("key")).hint("merge"), "key", "left_semi")
+    placed = leads.select("key", F.posexplode("buckets").alias("band", "bucket"))
     least = placed.groupBy("bucket").agg(F.min("key").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
     shared = written(placed.join(least, "bucket"), "buckets")
-    candidates = written(texts.join(shared.select("key").distinct(), "key", "left_semi"), "candidates")
+    candidates = written(rows.select("key", "text").join(shared.select("key").distinct().hint("merge"), "key", "left_semi"), "candidates")
+    candidates = candidates.dropDuplicates(["key"]) if repeated else candidates
     pairs = shared.filter("key != b").select(F.col("key").alias("a"), "b").distinct()
+    for k in "ab":
+        pairs = pairs.join(signed.select(F.col("key").alias(k), F.col("samples").alias(f"samples_{k}")).hint("merge"), k)
+    agree = F.size(F.filter(F.zip_with("samples_a", "samples_b", lambda x, y: x == y), lambda same: same))
+    pairs = pairs.filter(agree >= AGREE).select("a", "b")
     links = written(verified(pairs, candidates, table, threshold), "links")
     found = components(links)
     # Buckets that still hold several components.
-    labelled = shared.select("bucket", "key").join(found.select(F.col("id").alias("key"), "component"), "key", "left")
-    labelled = written(labelled.select("bucket", "key", F.coalesce("component", "key").alias("component")), "labelled")
+    labelled = shared.select("bucket", "band", "key").join(found.select(F.col("id").alias("key"), "component"), "key", "left")
+    labelled = written(labelled.select("bucket", "band", "key", F.coalesce("component", "key").alias("component")), "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket")
     members = labelled.join(mixed, "bucket").join(signed.select("key", "samples"), "key")
     more = written(cross_links(members, candidates, table, threshold), "links")
     if more.limit(1).collect():
         found = components(links.select("a", "b").union(more))
     of_lead = member.join(found.select(F.col("id").alias("lead"), "component"), "lead", "left").select("key", F.coalesce("component", "lead").alias("class_key"))
-    return of_lead.union(known.filter("n_words = 0").select("key", "key").distinct())
+    return of_lead.union(signed.filter("n_words = 0").select("key", "key"))
 
 
 def near_dup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -345,8 +347,8 @@ def near_dup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", te
     rows, unique = keyed(docs, id_col, text)
     if not unique:
         rows = written(rows, "rows")
-    classes = near_classes(rows, threshold)
-    joined = rows.select("key", "row").join(classes, "key")
+    classes = near_classes(rows, threshold, not unique)
+    joined = rows.select("key", "row").join(classes.hint("merge"), "key")
     if unique:
         return joined.select("row", "class_key", (F.col("key") == F.col("class_key")).alias("kept"))
     from pyspark.sql import Window
