@@ -5,8 +5,8 @@ divided by the item's score against itself, so a passage scores 0 to 1 and one t
 windows of twice the longest item's words, a longest item apart, so any item that stands in a text stands whole in one of them.
 
 A passage is first bounded from above: common terms can give an item at most its own share of them, so rare terms must
-give the rest of the threshold. Sums of the rare terms' largest weights, taken for all passages of a batch at once, leave few.
-Those run block-max WAND, which retrieves every item at or above the threshold. Each hit is then verified: the shares of
+give the rest of the threshold. Sums of the rare terms' largest weights, and then of what they give each item, are taken for
+all passages of a batch at once and leave few. Those run block-max WAND, which retrieves every item at or above the threshold. Each hit is then verified: the shares of
 the question's and of the answer's word runs that stand in the passage. An item's answer is its last sentence (of a
 single one the last fifth), its question the rest.
 
@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.columnar import plain, sliced, words
+from brindle.llm.columnar import plain, sliced, spread, words
+from brindle.llm.common import long_rows
 from brindle.llm.license_scan import normal
 
 K1, B = 1.2, 0.75
@@ -72,17 +73,45 @@ class BlockMaxIndex:
         df = Counter(w for _, _, ws in self.items for w in set(ws))
         n, mean = len(self.items), sum(len(ws) for _, _, ws in self.items) / max(1, len(self.items))
         lists: dict[str, list[tuple[int, float]]] = {}
-        common = [0.0]
+        common = []
         for k, (_, _, ws) in enumerate(self.items):
             own = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(ws) / mean)) for w, f in Counter(ws).items()}
             total = sum(own.values())
             for w, x in own.items():
                 lists.setdefault(w, []).append((k, x / total))
             common.append(sum(x for w, x in own.items() if df[w] > max(1, COMMON * n)) / total)
-        self.common = max(common)
-        self.rare = {w: max(x for _, x in p) for w, p in lists.items() if df[w] <= max(1, COMMON * n)}
+        self.common = np.array(common)
+        rare = {w: p for w, p in lists.items() if df[w] <= max(1, COMMON * n)}
+        self.rare = list(rare)
+        self.rare_max = np.array([max(x for _, x in p) for p in rare.values()])
+        self.rare_bounds = np.cumsum([0, *(len(p) for p in rare.values())])
+        self.rare_items = np.array([k for p in rare.values() for k, _ in p], np.int64)
+        self.rare_weights = np.array([x for p in rare.values() for _, x in p])
         self.postings = {w: ([k for k, _ in p], [x for _, x in p], max(x for _, x in p), [max(x for _, x in p[a : a + BLOCK]) for a in range(0, len(p), BLOCK)]) for w, p in lists.items()}
 
+    def possible(self, term: np.ndarray, lo: np.ndarray, hi: np.ndarray, threshold: float) -> np.ndarray:
+        """Which passages [lo, hi) can have an item at the threshold; term has the number of each word's rare term, or -1.
+
+        First by the rare terms' largest weights, then by what they give each single item.
+        """
+        floor = threshold - self.common - 1e-6
+        if not len(floor) or not len(lo):
+            return np.empty(0, np.int64)
+        if floor.min() <= 0:
+            return np.arange(len(lo))
+        value = np.append(self.rare_max, 0.0)[term]
+        total = np.concatenate([[0.0], np.cumsum(value)])
+        first = np.flatnonzero(total[hi] - total[lo] >= floor.min())
+        at = np.flatnonzero(term >= 0)
+        a, b = np.searchsorted(at, lo[first]), np.searchsorted(at, hi[first])
+        pairs = np.unique(np.repeat(np.arange(len(first)), b - a) * len(self.rare) + term[at[spread(a, b - a)]])
+        passage, own = pairs // len(self.rare), pairs % len(self.rare)
+        count = np.diff(self.rare_bounds)[own]
+        posting = spread(self.rare_bounds[own], count)
+        cells, where = np.unique(np.repeat(passage, count) * len(self.items) + self.rare_items[posting], return_inverse=True)
+        score = np.bincount(where, self.rare_weights[posting], len(cells))
+        return first[np.unique(cells[score >= floor[cells % len(self.items)]] // len(self.items))]
+
     def search(self, terms: set[str], threshold: float) -> list[tuple[int, float]]:
         """All items (by their number) whose score reaches the threshold."""
         end, slack = len(self.items), 1e-9
@@ -156,12 +185,10 @@ def _hits(docs: DataFrame, index: BlockMaxIndex, item_type: T.DataType, threshol
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        rare = pa.array(list(own.rare), pa.large_string())
-        most = np.append(np.fromiter(own.rare.values(), float, len(own.rare)), 0.0)
+        rare = pa.array(own.rare, pa.large_string())
         for batch in sliced(batches):
             w = words(normal(plain(batch.column(1))))
-            value = most[np.asarray(pc.fill_null(pc.index_in(w.distinct, rare), len(rare)))][w.codes]
-            total = np.concatenate([[0.0], np.cumsum(value)])
+            term = np.asarray(pc.fill_null(pc.index_in(w.distinct, rare), -1), np.int64)[w.codes]
             n = w.counts()
             passages = np.where(n > 0, 1 + np.maximum(0, -(-(n - 2 * stride) // stride)), 0)
             text = np.repeat(np.arange(len(n)), passages)
@@ -169,7 +196,7 @@ def _hits(docs: DataFrame, index: BlockMaxIndex, item_type: T.DataType, threshol
             lo = w.bounds[text] + start
             hi = np.minimum(lo + 2 * stride, w.bounds[text + 1])
             rows: dict[tuple[int, int], tuple] = {}
-            for p in np.flatnonzero(total[hi] - total[lo] >= threshold - own.common - 1e-6):
+            for p in own.possible(term, lo, hi, threshold):
                 ws = w.distinct.take(pa.array(w.codes[lo[p] : hi[p]])).to_pylist()
                 for k, score in own.search(set(ws), threshold):
                     q, a = own.overlap(k, ws)
@@ -191,7 +218,7 @@ def _hits(docs: DataFrame, index: BlockMaxIndex, item_type: T.DataType, threshol
     from pyspark.sql.pandas.types import to_arrow_type
 
     item_arrow = to_arrow_type(item_type)
-    return docs.mapInArrow(run, schema)
+    return long_rows(docs).mapInArrow(run, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, question: float = 0.6, answer: float = 0.4, shard_bytes: int = 16 << 20, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
