@@ -64,7 +64,7 @@ def _repeated_words(words: Column, n: int = 3) -> Column:
     def marked(runs: Column) -> Column:
         # Equal runs stand side by side; [-1] and [size] are out of range and null with get().
         same = F.filter(runs, lambda r, k: F.coalesce(r["w"] == F.get(runs, k - 1)["w"], F.lit(False)) | F.coalesce(r["w"] == F.get(runs, k + 1)["w"], F.lit(False)))
-        return _let(F.transform(same, lambda r: r["at"]), lambda at: F.size(F.array_distinct(F.flatten(F.array(*[F.transform(at, lambda a, j=j: a + j) for j in range(n)])))))
+        return _let(F.transform(same, lambda r: r["at"]), lambda at: F.size(F.array_distinct(F.flatten(F.transform(at, lambda a: F.sequence(a, a + (n - 1)))))))
 
     def runs(ws: Column) -> Column:
         last = F.size(ws) - (n - 1)
