@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontaminate, language_id, license_scan, near_dup, packing, quality_pu, quality_rules, recurrent_lm, substring_dedup, warc
+from brindle.llm import decontaminate, language_id, license_scan, near_dup, oracle, packing, quality_pu, quality_rules, recurrent_lm, substring_dedup, warc
 from brindle.llm.common import in_fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -71,4 +71,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
