@@ -49,8 +49,20 @@ def _named(df: DataFrame, p: str) -> DataFrame:
     return df.select(*[F.col(c).alias(p + c) for c in df.columns])
 
 
+#: Products of a user's own, tried before the built-in ones: (applies, product), the last registered first.
+KERNELS: list[tuple[Callable, Callable]] = []
+
+
+def register_kernel(applies: Callable, product: Callable) -> None:
+    """From now on matmul(A, B) is product(A, B) wherever applies(A, B) holds."""
+    KERNELS.insert(0, (applies, product))
+
+
 def matmul(A, B, salt: int = 1):
     """Product of matrix and matrix, matrix and column vector, row vector and matrix, or two vectors (a number or a matrix)."""
+    for applies, product in KERNELS:
+        if applies(A, B):
+            return product(A, B)
     if isinstance(A, MultiVector):
         A = A.matrix()
     if isinstance(B, MultiVector):

@@ -190,6 +190,83 @@ class Ic0(_Kernel):
     adjoint_solve = solve
 
 
+class Imf:
+    """A multilevel incomplete factor: every level eliminates nodes that share no entry, then goes on with what is left.
+
+    Fill is kept up to a level: an entry of the matrix has level 0, one that elimination of node k makes at (i, j) has the levels of
+    (i, k) and (k, j) plus one. Without a bound the factor is exact. Element structures are assembled first (`of_elements`).
+    """
+
+    def __init__(self, most_fill: int | None = 1):
+        self.most_fill = most_fill
+
+    @staticmethod
+    def of_elements(es, most_fill: int | None = 1) -> tuple[Matrix, Imf]:
+        """The assembled matrix, and the preconditioner to be bound to it."""
+        return es.assemble(), Imf(most_fill)
+
+    def on(self, space) -> Imf:
+        if not hasattr(space, "i"):
+            raise MemoryError("a multilevel factor of a matrix that can't be gathered; use BlockIlu")
+        rows = [{c: (v, 0) for c, v in row.items()} for row in _rows(space.i, space.j, space.v, space.n)]
+        columns: list[set[int]] = [set() for _ in rows]
+        for r, row in enumerate(rows):
+            for c in row:
+                columns[c].add(r)
+        active, self.steps, self.levels = set(range(len(rows))), [], 0
+        while active:
+            self.levels += 1
+            blocked: set[int] = set()
+            chosen = []
+            for k in sorted(active, key=lambda k: (len(rows[k]) + len(columns[k]), k)):
+                if k not in blocked:
+                    chosen.append(k)
+                    blocked |= {*rows[k], *columns[k]}
+            for k in chosen:
+                self._eliminate(rows, columns, k)
+            active.difference_update(chosen)
+        return self
+
+    def _eliminate(self, rows, columns, k: int) -> None:
+        pivot = rows[k].pop(k, (0.0, 0))[0]
+        if pivot == 0:
+            raise MatrixSingular(f"pivot {k} is zero or missing")
+        columns[k].discard(k)
+        right = rows[k]
+        left = {r: rows[r].pop(k) for r in columns[k]}
+        for c in right:
+            columns[c].discard(k)
+        for r, (v, up) in left.items():
+            for c, (w, over) in right.items():
+                fill = up + over + 1
+                if c in rows[r]:
+                    old, level = rows[r][c]
+                    rows[r][c] = (old - v * w / pivot, min(level, fill))
+                elif self.most_fill is None or fill <= self.most_fill:
+                    rows[r][c] = (-v * w / pivot, fill)
+                    columns[c].add(r)
+        self.steps.append((k, pivot, {r: v / pivot for r, (v, _) in left.items()}, {c: w for c, (w, _) in right.items()}))
+
+    def solve(self, r):
+        x = r.astype(float).copy()
+        for k, _, left, _ in self.steps:
+            for i, v in left.items():
+                x[i] -= v * x[k]
+        for k, pivot, _, right in reversed(self.steps):
+            x[k] = (x[k] - sum(w * x[c] for c, w in right.items())) / pivot
+        return x
+
+    def adjoint_solve(self, r):
+        x = r.astype(float).copy()
+        for k, pivot, _, right in self.steps:
+            x[k] /= pivot
+            for c, w in right.items():
+                x[c] -= w * x[k]
+        for k, _, left, _ in reversed(self.steps):
+            x[k] -= sum(v * x[i] for i, v in left.items())
+        return x
+
+
 class BlockIlu:
     """ILU(0) of every diagonal block of `side` rows, made and applied where the block lies: a grouped map, no gathering."""
 

@@ -364,6 +364,9 @@ add("element_product", lambda spark, sf: _elements(spark).apply(C.iota(spark, 12
 add("element_neighbours", lambda spark, sf: _elements(spark).neighbours(), "SELECT CAST(a AS BIGINT) AS src, CAST(b AS BIGINT) AS dst FROM range(10) x(a), range(10) y(b) WHERE a <> b AND abs(a - b) <= 2")
 
 
+add("element_extraction", lambda spark, sf: E.extract_elements(C.laplacian(spark, 6, 8)).assemble().df.filter("v <> 0"), ORACLE["laplacian"])
+
+
 @query(ORACLE["element_assembly"])
 def element_file_round_trip(spark, sf):
     path = f"{shared_dir(spark)}/brindle/elements-{id(spark)}"
@@ -580,7 +583,7 @@ def _krylov(solver: str, pc=None, local: bool | None = None, **options):
 
 for _solver in K.SOLVERS:
     add(f"solve_{_solver}", _krylov(_solver), _ONES.format(n=100))
-for _name, _pc in {"diagonal": PC.Diagonal, "ilu0": PC.Ilu0, "ilut": lambda: PC.Ilut(3, 0.001), "ic0": PC.Ic0, "block_ilu": lambda: PC.BlockIlu(25), "concat": lambda: PC.Concat(PC.Diagonal(), PC.Ilu0()), "sub_matrix": lambda: PC.SubMatrix([k % 2 == 0 for k in range(100)], PC.Diagonal())}.items():
+for _name, _pc in {"diagonal": PC.Diagonal, "ilu0": PC.Ilu0, "ilut": lambda: PC.Ilut(3, 0.001), "ic0": PC.Ic0, "imf": lambda: PC.Imf(2), "block_ilu": lambda: PC.BlockIlu(25), "concat": lambda: PC.Concat(PC.Diagonal(), PC.Ilu0()), "sub_matrix": lambda: PC.SubMatrix([k % 2 == 0 for k in range(100)], PC.Diagonal())}.items():
     add(f"bicgstab_{_name}", _krylov("bicgstab", _pc), _ONES.format(n=100))
 
 

@@ -88,3 +88,24 @@ def write_elements(es: ElementStructure, path: str) -> None:
     spark = es.df.sparkSession
     head = spark.createDataFrame([(-1, 0, str(es.df.count())), (-1, 1, "elements")], "elem_id long, k int, value string")
     head.union(lines).orderBy("elem_id", "k").coalesce(1).select("value").write.mode("overwrite").text(path)
+
+
+def extract_elements(A: Matrix) -> ElementStructure:
+    """Cuts a matrix into elements whose assembly is the matrix again: each node in turn takes its neighbours' entries not yet taken.
+
+    Which entries are left depends on the nodes before, so the pattern is gathered; its size is checked first.
+    """
+    from brindle.operators.factor import gathered
+
+    n, a = A.square(), gathered(A)
+    left = a != 0
+    elements = []
+    for k in range(n):
+        near = [k, *(j for j in range(n) if j != k and (left[k, j] or left[j, k]))]
+        if not left[near][:, near].any():
+            continue
+        values = [[float(a[r, c]) if left[r, c] else 0.0 for c in near] for r in near]
+        for r in near:
+            left[r, near] = False
+        elements.append((len(elements), near, values))
+    return ElementStructure(A.spark.createDataFrame(elements, "elem_id long, idx array<long>, vals array<array<double>>"), n)

@@ -378,6 +378,21 @@ def test_preconditioners(spark):
         PC.Diagonal().on(K.LocalSpace(P.strict_lower(B)))
 
 
+def test_multilevel_factor(spark):
+    rng = np.random.default_rng(8)
+    a = np.where(rng.random((15, 15)) < 0.25, rng.standard_normal((15, 15)), 0) + 6 * np.eye(15)
+    r = rng.standard_normal(15)
+    exact = PC.Imf(None).on(K.LocalSpace(Matrix.of(spark, a)))
+    assert np.allclose(exact.solve(r), np.linalg.solve(a, r)) and np.allclose(exact.adjoint_solve(r), np.linalg.solve(a.T, r)) and exact.levels > 1
+    for fill in (0, 1):
+        m = PC.Imf(fill).on(K.LocalSpace(Matrix.of(spark, a)))
+        M = np.stack([m.solve(e) for e in np.eye(15)], 1)
+        assert np.allclose(np.stack([m.adjoint_solve(e) for e in np.eye(15)], 1), M.T)
+    A, pc = PC.Imf.of_elements(E.extract_elements(C.laplacian(spark, 4, 4)), 1)
+    x, control = K.bicgstab(A, X.matmul(A, C.iota(spark, 16)), None, pc, K.IterationControl(30, 1e-10))
+    assert control.code == 0 and control.step < 12 and np.allclose(x.local(), range(16), atol=1e-6)
+
+
 def test_minimisation():
     f, g = (lambda x: float(x[0] ** 2 + 2 * x[1] ** 2 + 2 * x[2] ** 2)), (lambda x: np.array([2 * x[0], 4 * x[1], 4 * x[2]]))
     for update in UPDATES.values():
@@ -436,6 +451,24 @@ def test_elements(spark, tmp_path):
     assert E.read_elements(spark, str(tmp_path / "o")).assemble().local() == es.assemble().local()
 
 
+def test_element_extraction(spark):
+    rng = np.random.default_rng(7)
+    a = np.where(rng.random((9, 9)) < 0.3, rng.integers(1, 9, (9, 9)), 0).astype(float)
+    es = E.extract_elements(Matrix.of(spark, a))
+    assert np.array_equal(es.assemble().local(), a)
+    assert np.allclose(es.apply(C.iota(spark, 9)).local(), a @ np.arange(9))
+
+
+def test_own_kernel(spark):
+    A = C.identity(spark, 3)
+    X.register_kernel(lambda a, b: a is A, lambda a, b: b)
+    try:
+        B = Matrix.of(spark, A3)
+        assert X.matmul(A, B) is B
+    finally:
+        X.KERNELS.clear()
+
+
 def test_printing(spark):
     A = Matrix.of(spark, [[1.5, 0], [0, -2]])
     assert printing.print_matrix(A, 5) == "[  1.5     0]\n[    0    -2]" and printing.print_vector(Vector.of(spark, [1, 2.25])) == "{2C}[1,2.25]" and printing.print_size(A) == 3
