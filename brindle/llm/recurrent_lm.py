@@ -43,7 +43,7 @@ VOCABULARY = 2047
 HIDDEN = 16
 WINDOW = 16
 LANES = 128
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -219,17 +219,19 @@ def blocks(docs: DataFrame) -> DataFrame:
             w = words(lower(plain(batch.column(1))))
             n, end = w.n_texts, len(w.distinct)
             bounds = w.bounds + np.arange(n + 1)
-            codes = np.full(bounds[-1], end, np.int32)
+            codes = np.full(bounds[-1], end, "<i4")
             codes[np.arange(len(w.codes)) + w.text_of()] = w.codes
             held = np.asarray(batch.column(2).cast(pa.int8())).astype(bool)
             trained = np.bincount(codes, np.repeat(~held, np.diff(bounds)), end + 1).astype(np.int64)
-            row = [part * (1 << 32) + number, batch.column(0).to_pylist(), held.tolist(), batch.column(3).to_pylist(), bounds.astype("<i4").tobytes(), codes.astype("<i4").tobytes(), w.distinct.to_pylist() + [END], trained.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
+            spelled = pa.concat_arrays([w.distinct.cast(pa.string()), pa.array([END])])
+            one = lambda x, t: pa.array([x], t)
+            lists = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            columns = [one(part * (1 << 32) + number, pa.int64()), lists(batch.column(0)), lists(pa.array(held)), lists(batch.column(3)), one(bounds.astype("<i4").tobytes(), pa.binary()), one(codes.tobytes(), pa.binary()), lists(spelled), lists(pa.array(trained))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = [x.split()[0] for x in BLOCKS.split(", ")]
-    kinds = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()))
     name = f"brindle_blocks_{uuid.uuid4().hex}"
-    coded = long_rows(docs).select(id_text("doc_id").alias("id"), "text", "held", "hash").mapInArrow(run, BLOCKS)
+    coded = long_rows(docs).select(F.col("doc_id").cast("string").alias("id"), "text", "held", "hash").mapInArrow(run, BLOCKS)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     coded.write.bucketBy(parts, "block").option("path", new_path(spark, "blocks")).option("compression", "zstd").format("parquet").saveAsTable(name)
     return spark.table(name)
@@ -275,10 +277,12 @@ def fit(docs: DataFrame, coded: DataFrame, counts: Counts, fit_docs: int = 800,
         own, known = copy.deepcopy(shared.value)
         adam, seen = Adam(own.p, 0.002), 0
         for batch in batches:
-            for row in batch.to_pylist():
-                bounds, codes = np.frombuffer(row["bounds"], "<i4"), np.frombuffer(row["codes"], "<i4")
-                pick = np.flatnonzero(~np.array(row["held"], bool) & (np.array(row["hashes"], np.int64) % one_in == 0))
-                ids = known.ids(pa.array(row["words"], pa.large_string()))
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k] for c in ("bounds", "codes", "words", "held", "hashes")}
+                bounds, codes = (np.frombuffer(row[c].as_buffer(), "<i4") for c in ("bounds", "codes"))
+                held, hashes = (row[c].values.to_numpy(zero_copy_only=False) for c in ("held", "hashes"))
+                pick = np.flatnonzero(~held & (hashes % one_in == 0))
+                ids = known.ids(row["words"].values)
                 stream = np.concatenate([[0], *(ids[codes[bounds[k] : bounds[k + 1]]] for k in pick)]).astype(np.int64)
                 if len(pick):
                     own.train(stream, adam)
@@ -304,8 +308,9 @@ def fit(docs: DataFrame, coded: DataFrame, counts: Counts, fit_docs: int = 800,
 
     arrow = pa.schema([("lane", pa.int32()), ("part", pa.int32()), ("total", pa.binary()), ("seen", pa.int64())])
     sums = coded.select("bounds", "codes", "words", "held", "hashes").mapInArrow(run, schema)
-    sums = sums.repartition(F.col("lane")).sortWithinPartitions("lane", "part").mapInArrow(add, schema)
-    last = sums.collect()  # at most 256 rows of the model's fixed size
+    for lanes in (256, 8):
+        sums = sums.withColumn("lane", F.col("lane") % lanes).repartition(F.col("lane")).sortWithinPartitions("lane", "part").mapInArrow(add, schema)
+    last = sums.collect()  # at most 8 rows of the model's fixed size
     seen = sum(r["seen"] for r in last)
     if seen:
         mean = sum(np.frombuffer(r["total"], "<f8") for r in sorted(last, key=lambda r: r["lane"])) / seen
@@ -329,21 +334,21 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         """One block, and the counts of its words."""
         model, known = shared.value
-        row = left.slice(0, 1).to_pylist()[0]
-        bounds, codes = np.frombuffer(row["bounds"], "<i4").astype(np.int64), np.frombuffer(row["codes"], "<i4")
-        c = np.zeros(len(row["words"]))
+        row = {c: left.column(c)[0] for c in ("ids", "held", "bounds", "codes", "words")}
+        bounds, codes = np.frombuffer(row["bounds"].as_buffer(), "<i4").astype(np.int64), np.frombuffer(row["codes"].as_buffer(), "<i4")
+        c = np.zeros(len(row["words"].values))
         c[np.asarray(right.column("code"))] = np.asarray(right.column("c"))
         doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         per = lambda values: np.bincount(doc, values[codes], len(bounds) - 1)
         base = per(np.log10((c + 0.5) / (known.tokens + 0.5 * (known.distinct + 1))))
         total = base
         if model is not None:
-            ids = known.ids(pa.array(row["words"], pa.large_string()))
+            ids = known.ids(row["words"].values)
             tokens, distinct = known.rest()
             spelled = np.where(ids == len(known.words), np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1))), 0.0)
             total = model.score(ids[codes], bounds) / np.log(10) + per(spelled)
-        n = len(row["ids"])
-        columns = (row["ids"], row["held"], np.diff(bounds), per((c > 0).astype(float)).astype(np.int64), np.full(n, known.tokens), base, total)
+        n = len(bounds) - 1
+        columns = (row["ids"].values, row["held"].values, np.diff(bounds), per((c > 0).astype(float)).astype(np.int64), np.full(n, known.tokens), base, total)
         return pa.table({k: pa.array(x, t) for (k, t), x in zip(kinds, columns, strict=True)})
 
     schema = "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
