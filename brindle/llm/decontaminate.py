@@ -23,6 +23,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -177,59 +178,76 @@ class BlockMaxIndex:
         return out[0], out[1]
 
 
-def _hits(docs: DataFrame, index: BlockMaxIndex, item_type: T.DataType, threshold: float, question: float, answer: float) -> DataFrame:
-    fields = (("item_id", item_type), ("start", T.LongType()), ("score", T.DoubleType()), ("question_overlap", T.DoubleType()), ("answer_overlap", T.DoubleType()))
-    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(*f) for f in fields]])
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # at most shard_bytes of items
-    stride = index.longest
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        rare = pa.array(own.rare, pa.large_string())
-        for batch in sliced(batches):
-            w = words(normal(plain(batch.column(1))))
-            term = np.asarray(pc.fill_null(pc.index_in(w.distinct, rare), -1), np.int64)[w.codes]
-            n = w.counts()
-            passages = np.where(n > 0, 1 + np.maximum(0, -(-(n - 2 * stride) // stride)), 0)
-            text = np.repeat(np.arange(len(n)), passages)
-            start = (np.arange(len(text)) - np.repeat(np.cumsum(passages) - passages, passages)) * stride
-            lo = w.bounds[text] + start
-            hi = np.minimum(lo + 2 * stride, w.bounds[text + 1])
-            rows: dict[tuple[int, int], tuple] = {}
-            for p in own.possible(term, lo, hi, threshold):
-                ws = w.distinct.take(pa.array(w.codes[lo[p] : hi[p]])).to_pylist()
-                for k, score in own.search(set(ws), threshold):
-                    q, a = own.overlap(k, ws)
-                    if q >= question and a >= answer:
-                        at = (int(text[p]), k)
-                        rows[at] = max(rows.get(at, (-1.0,)), (score, -int(start[p]), q, a))
-            ids = sorted(rows)
-            best = [rows[x] for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array([t for t, _ in ids], pa.int64())),
-                    pa.array([own.items[k][0] for _, k in ids]).cast(item_arrow) if ids else pa.array([], item_arrow),
-                    pa.array([-x[1] for x in best], pa.int64()),
-                    *(pa.array([x[c] for x in best], pa.float64()) for c in (0, 2, 3)),
-                ],
-                names=schema.names,
-            )
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    item_arrow = to_arrow_type(item_type)
-    return long_rows(docs).mapInArrow(run, schema)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, question: float = 0.6, answer: float = 0.4, shard_bytes: int = 16 << 20, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, start (of the best passage, in words), score, question_overlap, answer_overlap: one row per document and item."""
+def _found(index: BlockMaxIndex, texts: pa.Array, threshold: float, question: float, answer: float) -> dict[tuple[int, int], tuple]:
+    """(text, item) -> (score, -start, question overlap, answer overlap) of the best verified passage."""
+    rare, stride = pa.array(index.rare, pa.large_string()), index.longest
+    w = words(normal(texts))
+    term = np.asarray(pc.fill_null(pc.index_in(w.distinct, rare), -1), np.int64)[w.codes]
+    n = w.counts()
+    passages = np.where(n > 0, 1 + np.maximum(0, -(-(n - 2 * stride) // stride)), 0)
+    text = np.repeat(np.arange(len(n)), passages)
+    start = (np.arange(len(text)) - np.repeat(np.cumsum(passages) - passages, passages)) * stride
+    lo = w.bounds[text] + start
+    hi = np.minimum(lo + 2 * stride, w.bounds[text + 1])
+    rows: dict[tuple[int, int], tuple] = {}
+    for p in index.possible(term, lo, hi, threshold):
+        ws = w.distinct.take(pa.array(w.codes[lo[p] : hi[p]])).to_pylist()
+        for k, score in index.search(set(ws), threshold):
+            q, a = index.overlap(k, ws)
+            if q >= question and a >= answer:
+                at = (int(text[p]), k)
+                rows[at] = max(rows.get(at, (-1.0,)), (score, -int(start[p]), q, a))
+    return rows
+
+
+def _shards(benchmark: DataFrame, shard_bytes: int, item_id: str, item_text: str) -> Iterator[BlockMaxIndex]:
+    """Indexes of about shard_bytes of items each, one at a time."""
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(size / shard_bytes))
-    passages = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    found = None
     for s in range(shards):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s).orderBy("item_id", "text").collect()  # about shard_bytes
-        hits = _hits(passages, BlockMaxIndex([tuple(r) for r in own]), items.schema["item_id"].dataType, threshold, question, answer)
-        found = hits if found is None else found.union(hits)
-    return found
+        yield BlockMaxIndex([tuple(r) for r in own])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, question: float = 0.6, answer: float = 0.4, shard_bytes: int = 16 << 20, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, item_id, start (of the best passage, in words), score, question_overlap, answer_overlap: one row per document and item."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    passages = long_rows(docs).select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    item_type = benchmark.schema[item_id].dataType
+    fields = (("item_id", item_type), ("start", T.LongType()), ("score", T.DoubleType()), ("question_overlap", T.DoubleType()), ("answer_overlap", T.DoubleType()))
+    schema, item_arrow = T.StructType([passages.schema["doc_id"], *[T.StructField(*f) for f in fields]]), to_arrow_type(item_type)
+
+    def hits(index: BlockMaxIndex) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches):
+                rows = _found(shared.value, plain(batch.column(1)), threshold, question, answer)
+                ids = sorted(rows)
+                best = [rows[x] for x in ids]
+                item = pa.array([shared.value.items[k][0] for _, k in ids]).cast(item_arrow) if ids else pa.array([], item_arrow)
+                scores = (pa.array([x[c] for x in best], pa.float64()) for c in (0, 2, 3))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([t for t, _ in ids], pa.int64())), item, pa.array([-x[1] for x in best], pa.int64()), *scores], names=schema.names)
+
+        return passages.mapInArrow(run, schema)
+
+    return reduce(DataFrame.union, map(hits, _shards(benchmark, shard_bytes, item_id, item_text)))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, question: float = 0.6, answer: float = 0.4, shard_bytes: int = 16 << 20, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs in whose text no item is found, whole; a filter where the rows lie, whatever their ids."""
+
+    def without(rows: DataFrame, index: BlockMaxIndex) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches):
+                dirty = {t for t, _ in _found(shared.value, plain(batch.column(0)), threshold, question, answer)}
+                yield batch.filter(pa.array([t not in dirty for t in range(batch.num_rows)], pa.bool_()))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    whole = long_rows(docs).select(F.col(text).alias("text"), F.struct("*").alias("whole"))
+    return reduce(without, _shards(benchmark, shard_bytes, item_id, item_text), whole).select("whole.*")
