@@ -26,11 +26,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/brindle/{uuid.uuid4().hex}/{name}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, most: int | None = None, per_task: int = 250_000) -> DataFrame:
     """The rows of df after a cut of the lineage: a Parquet table in the shared folder.
 
-    Executors lost later cost nothing, since no shuffle file or cached block is needed any more.
+    Executors lost later cost nothing, since no shuffle file or cached block is needed any more. `most`, where it is known, bounds
+    the rows: there are no more tasks and files than one for each `per_task` of them, so small tables don't come in many files.
     """
+    if most is not None:
+        df = df.coalesce(max(1, -(-most // per_task)))
     spark = df.sparkSession
     path = new_path(spark, name)
     long_rows(df).write.parquet(path)

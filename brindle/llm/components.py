@@ -32,8 +32,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     edges, before = written(edges, "edges"), None
+    most = edges.count()  # steps never add an edge
     while True:
-        edges = written(_star(_star(edges, True), False), "edges")
+        edges = written(_star(_star(edges, True), False), "edges", most)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -34,13 +34,14 @@ from brindle.llm.substring_dedup import Hashes
 SHINGLE = 5
 BANDS, ROWS = 14, 4
 SAMPLES = BANDS * ROWS
-DAMP = 0.25
+DAMP = 0.1
 COUNTERS = 1 << 18
 PARTS = 64  # that the sketch is sent in
 LEVELS_A_LOG = 8  # sampling weights are rounded to this part of a natural logarithm; verification takes them as they are
 LEVELS = 14 * LEVELS_A_LOG
 AGREE = 34  # of SAMPLES, at least, for members of different components to be compared
 BLOCK = 512
+VERIFIED = 20_000  # candidates of a task
 
 
 def shingles(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -302,10 +303,10 @@ def _verifier(threshold: float):
     return verify
 
 
-def cross_links(members: DataFrame, texts: DataFrame, table: np.ndarray, threshold: float) -> DataFrame:
+def cross_links(members: DataFrame, texts: DataFrame, table: np.ndarray, threshold: float, most: int) -> DataFrame:
     """a, b: links between members of one bucket and different components, enough to join all components that any link joins."""
     kinds = "bucket long, band int, x int, y int, own int, key long, component long, samples array<int>"
-    agreed = written(_met(members).groupBy("bucket", "x", "y").applyInArrow(_agree, kinds), "agreed")
+    agreed = written(_met(members).groupBy("bucket", "x", "y").applyInArrow(_agree, kinds), "agreed", most, VERIFIED)
     own = packed(texts.join(agreed.select("key").distinct(), "key", "left_semi"), table)
     return agreed.join(own, "key").groupBy("bucket", "x", "y").applyInArrow(_verifier(threshold), "a long, b long").distinct()
 
@@ -320,22 +321,24 @@ def near_classes(rows: DataFrame, threshold: float = 0.8, repeated: bool = False
     leads = signed.join(lead.select(F.col("lead").alias("key")).hint("merge"), "key", "left_semi")
     placed = leads.select("key", F.posexplode("buckets").alias("band", "bucket"))
     least = placed.groupBy("bucket").agg(F.min("key").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = written(placed.join(least, "bucket"), "buckets")
-    candidates = written(rows.select("key", "text").join(shared.select("key").distinct().hint("merge"), "key", "left_semi"), "candidates")
+    n_docs = signed.count()
+    shared = written(placed.join(least, "bucket"), "buckets", BANDS * n_docs)
+    n_shared = shared.count()
+    candidates = written(rows.select("key", "text").join(shared.select("key").distinct().hint("merge"), "key", "left_semi"), "candidates", n_docs, 5_000)
     candidates = candidates.dropDuplicates(["key"]) if repeated else candidates
     pairs = shared.filter("key != b").select(F.col("key").alias("a"), "b").distinct()
     for k in "ab":
         pairs = pairs.join(signed.select(F.col("key").alias(k), F.col("samples").alias(f"samples_{k}")).hint("merge"), k)
     agree = F.size(F.filter(F.zip_with("samples_a", "samples_b", lambda x, y: x == y), lambda same: same))
     pairs = pairs.filter(agree >= AGREE).select("a", "b")
-    links = written(verified(pairs, candidates, table, threshold), "links")
+    links = written(verified(pairs, candidates, table, threshold), "links", n_shared, VERIFIED)
     found = components(links)
     # Buckets that still hold several components.
     labelled = shared.select("bucket", "band", "key").join(found.select(F.col("id").alias("key"), "component"), "key", "left")
-    labelled = written(labelled.select("bucket", "band", "key", F.coalesce("component", "key").alias("component")), "labelled")
+    labelled = written(labelled.select("bucket", "band", "key", F.coalesce("component", "key").alias("component")), "labelled", n_shared)
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket")
     members = labelled.join(mixed, "bucket").join(signed.select("key", "samples"), "key")
-    more = written(cross_links(members, candidates, table, threshold), "links")
+    more = written(cross_links(members, candidates, table, threshold, n_shared), "links", n_shared, VERIFIED)
     if more.limit(1).collect():
         found = components(links.select("a", "b").union(more))
     of_lead = member.join(found.select(F.col("id").alias("lead"), "component"), "lead", "left").select("key", F.coalesce("component", "lead").alias("class_key"))
