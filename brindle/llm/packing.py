@@ -28,8 +28,8 @@ from brindle.llm.common import long_rows, written
 
 #: Distinct words that are tokenised as one text, split by a special token.
 GLUED = 256
-#: Words whose ids a worker keeps; about 30 MB.
-KNOWN = 150_000
+#: Words whose ids a worker keeps; about 50 MB.
+KNOWN = 250_000
 
 
 @cache
@@ -131,7 +131,7 @@ def tokenised(docs: DataFrame, path: str, glue: str, end_id: int, id_col: str =
         from pyspark import TaskContext
 
         part, total = TaskContext.get().partitionId(), 0
-        for batch in sliced(batches, most=4 << 20):
+        for batch in sliced(batches, most=6 << 20):
             ids = text_ids(plain(batch.column(1)), path, glue, end_id)
             n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(total + np.cumsum(n) - n), pa.array(ids, pa.binary())], names=schema.names)
