@@ -604,6 +604,60 @@ def quasi_newton_updates(spark, sf):
     return spark.createDataFrame([(n, round(float(np.linalg.norm(x)), 3) + 0.0) for n, x in rows], "name string, v double")
 
 
+# --- whole operands -------------------------------------------------------------------------------------------------
+# The queries that another runs over a range of ids, for the sake of its SQL, over every entry of the tables. SQL over all of it is
+# too slow, so these have none; tests hold them against NumPy.
+
+
+def _largest(spark, sf) -> Matrix:
+    """M as a square matrix of the larger side, all its entries in it."""
+    A = m_(spark, sf)
+    n = max(A.nrows, A.ncols)
+    return A.resized(n, n)
+
+
+def _whole(name: str, f: Callable[[SparkSession, str], DataFrame]) -> None:
+    add(f"{name}_whole", f)
+
+
+def _insert_shifted_whole(spark, sf):
+    old = p_(spark, sf)
+    new = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"), F.col("l_quantity").alias("v"))
+    return X.insert(old.resized(old.nrows + 1, old.ncols + 2), new, "plus", (1, 2)).df
+
+
+def _sparse_dense_whole(spark, sf):
+    A, E_ = m_(spark, sf), e_(spark, sf)
+    n = max(A.nrows, E_.nrows)
+    return _rounded(X.matmul(P.trans(A.resized(n, A.ncols)), E_.resized(n, 64)), 4)
+
+
+def _round_trip_whole(dense: bool):
+    def f(spark, sf):
+        path = f"{shared_dir(spark)}/brindle/market-whole-{dense}-{id(spark)}"
+        MM.write_matrix_market(m_(spark, sf), path, dense)
+        return MM.read_matrix_market(spark, path).df.filter("v <> 0")
+
+    return f
+
+
+def _page_rank_whole(spark, sf):
+    """Parts link to their suppliers; both are nodes by their keys."""
+    edges = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    return _rounded(L.page_rank(edges, max(_shape(spark, sf)), 0.85, 4), 12)
+
+
+_whole("spmm_aat", lambda spark, sf: (lambda a: X.spmm(a, P.trans(a)))(m_(spark, sf)).df)
+_whole("sparse_dense", _sparse_dense_whole)
+_whole("matrix_power", lambda spark, sf: X.matrix_power(_largest(spark, sf), 3).df.filter("v <> 0"))
+_whole("trace", lambda spark, sf: spark.createDataFrame([(float(G.trace(_largest(spark, sf))),)], "v double"))
+_whole("symmetric_pattern", lambda spark, sf: P.symmetric_pattern(_largest(spark, sf)).df)
+_whole("matrix_market_round_trip", _round_trip_whole(False))
+_whole("matrix_market_dense_round_trip", _round_trip_whole(True))
+_whole("insert_shifted", _insert_shifted_whole)
+_whole("page_rank", _page_rank_whole)
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Weighted link analysis: assemble, normalise, multiply by the transpose, iterate."""
     return power_iteration(spark, sf)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle import errors
+from brindle import errors, queries
 from brindle.core import Matrix, MultiVector, Vector
 from brindle.functions import integer
 from brindle.functions import scalar as S
@@ -510,3 +510,65 @@ def test_page_rank(spark):
     for _ in range(25):
         want = 0.03 + 0.85 * m @ want
     assert np.allclose(got, want)
+
+
+# --- whole operands -------------------------------------------------------------------------------------------------
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def whole(spark):
+    """M and P (part by supplier) and the embeddings of the smallest tables, from their rows alone."""
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_suppkey", "l_quantity", "l_linenumber").collect()
+    shape = tuple(spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("part", "supplier"))
+    m, p = np.zeros(shape), np.zeros(shape)
+    for i, j, q, n in lines:
+        m[i, j] += q
+        p[i, j] += n
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    e = np.zeros((len(rows), 64))
+    for r in rows:
+        e[r["vec_id"]] = r["embedding"]
+    return m, p, e
+
+
+def entries(df, shape):
+    out = np.zeros(shape)
+    for i, j, v in df.select("i", "j", "v").collect():
+        out[i, j] = v
+    return out
+
+
+def test_whole_operands(spark, whole):
+    m, p, e = whole
+    n, run = max(m.shape), lambda name: queries.QUERIES[f"{name}_whole"](spark, SF)
+    square = np.zeros((n, n))
+    square[: m.shape[0], : m.shape[1]] = m
+    assert (entries(run("spmm_aat"), (len(m), len(m))) == m @ m.T).all()
+    inner = min(len(m), len(e))
+    assert np.allclose(entries(run("sparse_dense"), (m.shape[1], 64)), m[:inner].T @ e[:inner], atol=1e-3)
+    assert np.allclose(entries(run("matrix_power"), (n, n)), np.linalg.matrix_power(square, 3))
+    assert run("trace").first()[0] == np.trace(square)
+    places = {(i, j) for i, j in zip(*np.nonzero(square), strict=True)}
+    assert {(r["i"], r["j"]) for r in run("symmetric_pattern").collect()} == places | {(j, i) for i, j in places}
+    for name in ("matrix_market_round_trip", "matrix_market_dense_round_trip"):
+        assert (entries(run(name), m.shape) == m).all()
+    want = np.zeros((m.shape[0] + 1, m.shape[1] + 2))
+    want[:-1, :-2] += p
+    want[1:, 2:] += m
+    assert (entries(run("insert_shifted"), want.shape) == want).all()
+
+
+def test_whole_page_rank(spark, whole):
+    m = whole[0]
+    n = max(m.shape)
+    links = np.zeros((n, n))
+    links[: m.shape[1], : m.shape[0]] = m.T > 0
+    out = links.sum(0)
+    links = np.where(out > 0, links / np.maximum(out, 1), 1 / n)
+    want = np.full(n, 1 / n)
+    for _ in range(4):
+        want = 0.15 / n + 0.85 * links @ want
+    got = {r["i"]: r["v"] for r in queries.QUERIES["page_rank_whole"](spark, SF).collect()}
+    assert np.allclose([got[k] for k in range(n)], want, atol=1e-10)
