@@ -658,6 +658,40 @@ _whole("insert_shifted", _insert_shifted_whole)
 _whole("page_rank", _page_rank_whole)
 
 
+def _spd_whole(spark, sf) -> Matrix:
+    """As _spd, of all columns of M; beyond DENSE of them the kernels raise TooLarge, solve() iterates."""
+    A = m_(spark, sf)
+    G_ = X.add_(X.spmm(P.trans(A), A), C.diagonal_setup(spark, A.ncols, A.ncols, 1000.0))
+    return G_.with_df(cut(G_.df))
+
+
+def _solved_whole(f: Callable[[Matrix, Vector], Vector], part: Callable[[Matrix], Matrix] = lambda A: A):
+    def run(spark, sf):
+        A = _spd_whole(spark, sf)
+        return _rounded(f(A, X.matmul(part(A), C.fill(spark, A.nrows, 1.0))), 6)
+
+    return run
+
+
+def _rebuilt_whole(f: Callable[[Matrix], Matrix], digits: int = 3):
+    return lambda spark, sf: _rounded(f(_spd_whole(spark, sf)), digits).filter("v <> 0")
+
+
+for _name, _solver in (("lu_solve", L.lu_solve), ("lu_solve_straight", L.lu_solve_straight), ("lu_adjoint_solve", L.lu_adjoint_solve), ("direct_solve", L.solve)):
+    _whole(_name, _solved_whole(_solver))
+_whole("lower_trisolve", _solved_whole(lambda A, b: L.triangular_solve(A, b, True), P.lower))
+_whole("upper_trisolve", _solved_whole(lambda A, b: L.triangular_solve(A, b, False), P.upper))
+_whole("cholesky", _rebuilt_whole(lambda A: (lambda l: D.dense_matmul(l, P.trans(l)))(L.cholesky(A))))
+_whole("qr", _rebuilt_whole(lambda A: D.dense_matmul(*L.qr(A))))
+_whole("qr_givens", _rebuilt_whole(lambda A: D.dense_matmul(*L.qr_givens(A))))
+_whole("lq", _rebuilt_whole(lambda A: D.dense_matmul(*L.lq(A))))
+_whole("svd", _rebuilt_whole(lambda A: (lambda s, v, d: D.dense_matmul(D.dense_matmul(s, v), P.trans(d)))(*L.svd(A))))
+_whole("hessenberg", _rebuilt_whole(lambda A: (lambda h, q: D.dense_matmul(D.dense_matmul(q, h), P.trans(q)))(*L.hessenberg(A))))
+_whole("inverse", _rebuilt_whole(lambda A: D.dense_matmul(A, L.inv(A)), 6))
+_whole("inverse_upper", _rebuilt_whole(lambda A: D.dense_matmul(P.upper(A), L.inv_upper(A)), 6))
+_whole("inverse_lower", _rebuilt_whole(lambda A: D.dense_matmul(P.lower(A), L.inv_lower(A)), 6))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Weighted link analysis: assemble, normalise, multiply by the transpose, iterate."""
     return power_iteration(spark, sf)

@@ -572,3 +572,19 @@ def test_whole_page_rank(spark, whole):
         want = 0.15 / n + 0.85 * links @ want
     got = {r["i"]: r["v"] for r in queries.QUERIES["page_rank_whole"](spark, SF).collect()}
     assert np.allclose([got[k] for k in range(n)], want, atol=1e-10)
+
+
+def test_whole_factorisations(spark):
+    """On more suppliers than the twelve that the queries with SQL take."""
+    sf, run = "/root/testdata/sf0.01", lambda name: queries.QUERIES[f"{name}_whole"](spark, "/root/testdata/sf0.01")
+    n = spark.read.parquet(f"{sf}/supplier.parquet").count()
+    m = np.zeros((spark.read.parquet(f"{sf}/part.parquet").count(), n))
+    for i, j, q in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey", "l_suppkey", "l_quantity").collect():
+        m[i, j] += q
+    gram = m.T @ m + 1000 * np.eye(n)
+    for name in ("lu_solve", "lu_solve_straight", "lu_adjoint_solve", "direct_solve", "lower_trisolve", "upper_trisolve"):
+        assert [tuple(r) for r in run(name).orderBy("i").collect()] == [(k, 1.0) for k in range(n)], name
+    for name in ("cholesky", "qr", "qr_givens", "lq", "svd", "hessenberg"):
+        assert np.allclose(entries(run(name), (n, n)), gram, rtol=0, atol=2e-3), name
+    for name in ("inverse", "inverse_upper", "inverse_lower"):
+        assert (entries(run(name), (n, n)) == np.eye(n)).all(), name
