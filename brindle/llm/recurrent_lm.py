@@ -6,12 +6,12 @@ Counting. A map step codes a block of documents and writes it with its words and
 words (not documents') are dealt by word, so the count of each word comes back to the blocks that have it: a word as
 frequent as any costs a row for each block. The blocks themselves are bucketed and never move.
 
-Model. The VOCABULARY most frequent training words have ids by rank, all others share one; a word of those then has its unigram
+Model. The most frequent training words, VOCABULARY or the square root of the distinct ones if more, have ids by rank, all others share one; a word of those then has its unigram
 probability among them, so the model is a distribution over all texts, with the base's half count for unseen words.
 Ids are cut into classes of equal mass of square-rooted frequency: p(word) = p(class | state) p(word | class, state). The
-network is first fitted on the driver on at most `fit_docs` documents, then every map task goes on by itself over the training
-documents of its share of the corpus whose hash falls in one of `one_in` parts, and the tasks' parameters are averaged by
-tokens seen: what is learned from grows with the corpus. Both use backpropagation through time truncated to a window.
+network is first fitted on the driver on at most `fit_docs` documents, then every map task goes on by itself over all training
+documents of its share of the corpus (`one_in` > 1 takes those whose hash falls in one of so many parts), and the tasks' parameters
+are averaged by tokens seen. Both use backpropagation through time truncated to a window.
 
 Scoring. All documents of a block advance together; a window's states are kept, its output layer is worked out at once, and the
 state is carried into the next window, so a document of any length gets its complete log-likelihood.
@@ -22,6 +22,7 @@ tokens the model gives the base (each token probability 1); an empty table gives
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,6 +44,8 @@ VOCABULARY = 2047
 HIDDEN = 16
 WINDOW = 16
 LANES = 128
+#: Of a task's share, which is longer than the driver's.
+TASK_LANES = 512
 BLOCK_BYTES = 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -63,7 +66,7 @@ class ClassLM:
     def __init__(self, counts: np.ndarray, seed: int = 3):
         """counts: of each id, the last of all other words."""
         rng, n = np.random.default_rng(seed), len(counts)
-        self.n = n
+        self.n, self.seen = n, 0
         mass = np.cumsum(np.sqrt(counts + 1.0))
         classes = max(1, int(np.sqrt(n)))
         self.cls = np.minimum((mass / mass[-1] * classes * (1 - 1e-9)).astype(np.int64), classes - 1)
@@ -144,10 +147,15 @@ class ClassLM:
         size = np.float32(before.size)
         return {k: g / size for k, g in grads.items()}, -float(logp.mean()), h
 
-    def train(self, stream: np.ndarray, adam: Adam, scale=lambda done: 1.0) -> float:
+    @staticmethod
+    def lanes(stream: np.ndarray, most: int) -> tuple[int, int]:
+        """How many lanes, and the tokens of each."""
+        lanes = max(1, min(most, len(stream) // (2 * WINDOW)))
+        return lanes, (len(stream) - 1) // lanes
+
+    def train(self, stream: np.ndarray, adam: Adam, scale=lambda done: 1.0, most: int = LANES) -> float:
         """One pass over a stream of ids with end tokens between documents, in lanes side by side; the mean loss."""
-        lanes = max(1, min(LANES, len(stream) // (2 * WINDOW)))
-        length = (len(stream) - 1) // lanes
+        lanes, length = self.lanes(stream, most)
         if length < 1:
             return 0.0
         target = stream[1 : 1 + lanes * length].reshape(lanes, length).T
@@ -246,14 +254,15 @@ def counted(coded: DataFrame) -> DataFrame:
     return written(summed.select("block", "code", "c", F.when((F.col("k") == 1) & (F.col("c") > 0), F.col("word")).alias("word")), "counted")
 
 
-def vocabulary(counts: DataFrame, size: int = VOCABULARY) -> Counts:
+def vocabulary(counts: DataFrame, size: int | None = None) -> Counts:
     first = counts.filter("word is not null")
     tokens, distinct = first.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    size = max(VOCABULARY, math.isqrt(distinct)) if size is None else size
     top = first.orderBy(F.when(F.col("word") == END, 0).otherwise(1), F.desc("c"), "word").limit(size).collect()  # `size` rows
     return Counts(tokens, distinct, [r["word"] for r in top], [r["c"] for r in top])
 
 
-def fit(docs: DataFrame, coded: DataFrame, counts: Counts, fit_docs: int = 800, one_in: int = 16) -> ClassLM | None:
+def fit(docs: DataFrame, coded: DataFrame, counts: Counts, fit_docs: int = 800, one_in: int = 1) -> ClassLM | None:
     """docs: doc_id, text, held, hash. None without training tokens."""
     if not counts.tokens:
         return None
@@ -284,9 +293,11 @@ def fit(docs: DataFrame, coded: DataFrame, counts: Counts, fit_docs: int = 800,
                 pick = np.flatnonzero(~held & (hashes % one_in == 0))
                 ids = known.ids(row["words"].values)
                 stream = np.concatenate([[0], *(ids[codes[bounds[k] : bounds[k + 1]]] for k in pick)]).astype(np.int64)
-                if len(pick):
-                    own.train(stream, adam)
-                    seen += len(stream) - 1
+                while len(stream) > 1:  # what doesn't fill the lanes goes on in fewer
+                    lanes, length = own.lanes(stream, TASK_LANES)
+                    own.train(stream, adam, most=TASK_LANES)
+                    seen += lanes * length
+                    stream = stream[lanes * length :]
         flat = np.concatenate([own.p[k].ravel() for k in names]).astype("<f8") * seen
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array([part % 256], pa.int32()), pa.array([part], pa.int32()), pa.array([flat.tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["lane", "part", "total", "seen"])
@@ -311,7 +322,7 @@ def fit(docs: DataFrame, coded: DataFrame, counts: Counts, fit_docs: int = 800,
     for lanes in (256, 8):
         sums = sums.withColumn("lane", F.col("lane") % lanes).repartition(F.col("lane")).sortWithinPartitions("lane", "part").mapInArrow(add, schema)
     last = sums.collect()  # at most 8 rows of the model's fixed size
-    seen = sum(r["seen"] for r in last)
+    model.seen = seen = sum(r["seen"] for r in last)
     if seen:
         mean = sum(np.frombuffer(r["total"], "<f8") for r in sorted(last, key=lambda r: r["lane"])) / seen
         cuts = np.cumsum([model.p[k].size for k in names])[:-1]
@@ -319,7 +330,7 @@ def fit(docs: DataFrame, coded: DataFrame, counts: Counts, fit_docs: int = 800,
     return model
 
 
-def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text: str = "text", fit_docs: int = 800, one_in: int = 16) -> DataFrame:
+def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text: str = "text", fit_docs: int = 800, one_in: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both base-10 logarithms) of every document."""
     held_out = in_fold(5, 1, id_col) if held_out is None else held_out
     id_type = docs.schema[id_col].dataType

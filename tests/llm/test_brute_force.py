@@ -178,6 +178,23 @@ def test_lm_scores(spark, texts):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)  # better than the base on texts it never saw
 
 
+def test_lm_learns_from_every_training_token(spark):
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 90)))) for k in range(300)], "doc_id long, text string")
+    held = recurrent_lm.in_fold(5, 1, "doc_id")
+    rows = docs.select("doc_id", "text", held.alias("held"), F.xxhash64("doc_id").alias("hash"))
+    coded = recurrent_lm.blocks(rows)
+    known = recurrent_lm.vocabulary(recurrent_lm.counted(coded))
+    want = sum(len(r["text"].split()) + 1 for r in rows.filter("not held").collect())
+    assert known.tokens == want and recurrent_lm.fit(rows, coded, known, 10).seen == want
+
+
+def test_vocabulary_follows_the_counts(spark, monkeypatch):
+    monkeypatch.setattr(recurrent_lm, "VOCABULARY", 5)
+    counts = spark.range(400).selectExpr("id as c", "concat('w', id) as word").filter("c > 0")
+    assert len(recurrent_lm.vocabulary(counts).words) == 19
+
+
 # --- license scan ---------------------------------------------------------------------------------------------------
 
 
