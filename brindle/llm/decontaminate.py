@@ -8,7 +8,8 @@ A passage is first bounded from above: common terms can give an item at most its
 give the rest of the threshold. Sums of the rare terms' largest weights, and then of what they give each item, are taken for
 all passages of a batch at once and leave few. Those run block-max WAND, which retrieves every item at or above the threshold. Each hit is then verified: the shares of
 the question's and of the answer's word runs that stand in the passage. An item's answer is its last sentence (of a
-single one the last fifth), its question the rest.
+single one the last fifth), its question the rest. Both parts reaching their shares accept it, and so do `question` of the runs
+of the whole item or ALONE of the question's: a short answer that is missing or changed vetoes nothing.
 
 The index of a shard of items of at most `shard_bytes` travels with the task; a larger benchmark is taken in several shards, each
 asked with the whole corpus, with no cap on items, passages or hits.
@@ -41,6 +42,8 @@ BLOCK = 16
 #: A term is common if more than this share of the items has it.
 COMMON = 0.05
 RUN = 3
+#: A question of which so many runs stand in a passage is found, whatever there is of the answer.
+ALONE = 0.9
 
 
 def tokens(text: str | None) -> list[str]:
@@ -177,6 +180,11 @@ class BlockMaxIndex:
             out.append(len(part & own) / len(part))
         return out[0], out[1]
 
+    def accepts(self, k: int, q: float, a: float, question: float, answer: float) -> bool:
+        """Whether overlaps q and a verify an item."""
+        of_q, of_a = map(len, self.parts[k])
+        return (q >= question and a >= answer) or (of_q > 0 and q >= max(ALONE, question)) or q * of_q + a * of_a >= question * (of_q + of_a) - 1e-9
+
 
 def _found(index: BlockMaxIndex, texts: pa.Array, threshold: float, question: float, answer: float) -> dict[tuple[int, int], tuple]:
     """(text, item) -> (score, -start, question overlap, answer overlap) of the best verified passage."""
@@ -194,7 +202,7 @@ def _found(index: BlockMaxIndex, texts: pa.Array, threshold: float, question: fl
         ws = w.distinct.take(pa.array(w.codes[lo[p] : hi[p]])).to_pylist()
         for k, score in index.search(set(ws), threshold):
             q, a = index.overlap(k, ws)
-            if q >= question and a >= answer:
+            if index.accepts(k, q, a, question, answer):
                 at = (int(text[p]), k)
                 rows[at] = max(rows.get(at, (-1.0,)), (score, -int(start[p]), q, a))
     return rows

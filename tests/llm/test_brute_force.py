@@ -403,6 +403,16 @@ def test_shards_find_the_same(spark):
     assert pairs(decontaminate.contamination(docs, bench, shard_bytes=3000)) == pairs(decontaminate.contamination(docs, bench))
 
 
+def test_answers_veto_nothing(spark):
+    question = "In the valley of seven rivers the miller counted ninety sacks of barley before the winter storms closed the northern road."
+    items = [(0, f"{question} He kept eleven."), (1, "An unrelated riddle about copper lanterns hanging over quiet harbours. They shine dimly tonight.")]
+    docs = [(0, items[0][1]), (1, question), (2, f"{question} He kept twelve."), (3, "the miller counted ninety sacks"), (4, items[1][1].split(". ")[1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(df, bench).collect()} == {(0, 0), (1, 0), (2, 0)}
+    assert {r["doc_id"] for r in decontaminate.clean(df, bench).collect()} == {3, 4}
+
+
 # --- pipeline -------------------------------------------------------------------------------------------------------
 
 
