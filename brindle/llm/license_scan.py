@@ -1,4 +1,7 @@
-"""License scan: an exact set-similarity join of text blocks (lines) with license templates, and phrases word by word.
+"""License scan: an exact set-similarity join of text blocks with license templates, and phrases word by word.
+
+Blocks are lines, and windows over consecutive lines of a paragraph (up to a line without words), as notices are wrapped. A window
+goes from a template's word to another, over at most twice the template's words; it is looked for where its paragraph matches.
 
 A block matches a template when it holds at least `threshold` of the template's distinct words. Pass 1 counts, over
 all blocks of the table, how often each template word occurs; that global frequency orders the words, rarest first. Of a
@@ -15,6 +18,7 @@ a block is taken whole however long; only the named columns are read.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,6 +74,14 @@ def _lines(texts: pa.Array):
     return words(lists.values), np.asarray(lists.offsets, np.int64)
 
 
+def _paragraphs(w, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of each run of lines with words, none over a text's end."""
+    full = np.flatnonzero(w.counts() > 0)
+    text = np.searchsorted(lines, full, "right")
+    cut = np.flatnonzero((np.diff(full) != 1) | (np.diff(text) != 0))
+    return full[np.append(0, cut + 1)] if len(full) else full, full[np.append(cut, len(full) - 1)] if len(full) else full
+
+
 def template_frequencies(docs: DataFrame, templates=TEMPLATES, text: str = "text") -> DataFrame:
     """word, n: in how many blocks of the whole table each template word stands."""
     vocabulary = sorted({w for _, t in templates for w in word_list(t)})
@@ -99,12 +111,38 @@ class Matcher:
             for w in tokens[: len(tokens) - need + 1]:
                 self.prefixes.setdefault(w, []).append(len(self.templates))
             self.templates.append((label, tokens, need))
+        self.spans = [2 * len(words(normal(pa.array([t], pa.large_string()))).codes) for _, t in templates]
+
+    def windows(self, k: int, ws: list[str]) -> list[tuple[int, int, float]]:
+        """First and last place and containment of the best of each group of overlapping windows that match template k."""
+        _, tokens, need = self.templates[k]
+        wanted, held, found = set(tokens), Counter(), []
+        at = [p for p, w in enumerate(ws) if w in wanted]
+        left, best = 0, None
+        for p in at:
+            held[ws[p]] += 1
+            while p - at[left] >= self.spans[k] or held[ws[at[left]]] > 1:
+                if (w := ws[at[left]]) and held[w] == 1:
+                    del held[w]
+                else:
+                    held[w] -= 1
+                left += 1
+            if best and at[left] > best[1]:
+                found.append(best)
+                best = None
+            if len(held) >= need and (not best or len(held) > best[2]):
+                best = (at[left], p, len(held))
+        return [(a, b, n / len(tokens)) for a, b, n in [*found, *([best] if best else [])]]
 
     def block(self, own: set[str]) -> list[tuple[str, float]]:
         """Labels and containments of the templates that a block with these distinct words matches."""
+        return [(self.templates[k][0], c) for k, c in self.matches(own)]
+
+    def matches(self, own: set[str]) -> list[tuple[int, float]]:
+        """Templates (by their number) that a block with these distinct words matches, and their containments."""
         found = []
         for k in sorted({k for w in own & self.prefixes.keys() for k in self.prefixes[w]}):
-            label, tokens, need = self.templates[k]
+            _, tokens, need = self.templates[k]
             if len(own) < need:
                 continue
             first = next(i for i, w in enumerate(tokens) if w in own)
@@ -112,7 +150,7 @@ class Matcher:
                 continue
             got = sum(w in own for w in tokens)
             if got >= need:
-                found.append((label, got / len(tokens)))
+                found.append((k, got / len(tokens)))
         return found
 
 
@@ -120,7 +158,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] =
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
     score is 1 where a phrase stands, else the best containment of a matching template, else 0. blocks lists the
-    matches: line (from 0), label, containment.
+    matches: line (from 0; the first, of a window), label, containment.
     """
     frequency = {r["word"]: r["n"] for r in template_frequencies(docs, templates, text).collect()}  # as many rows as templates have words
     matcher = Matcher(templates, frequency, threshold)
@@ -151,12 +189,28 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] =
                         base[d].setdefault(int(at - bounds[d]), []).append(label)
             rare = np.asarray(pc.is_in(w.distinct, prefix))
             found: list[list] = [[] for _ in range(n)]
+            single: set[tuple[int, int]] = set()
             at = np.flatnonzero(rare[w.codes])
             for line in np.unique(np.searchsorted(w.bounds, at, "right") - 1):
                 own = set(w.distinct.take(pa.array(np.unique(w.codes[w.bounds[line] : w.bounds[line + 1]]))).to_pylist())
-                if hits := matcher.block(own):
+                if hits := matcher.matches(own):
                     d = int(np.searchsorted(lines, line, "right") - 1)
-                    found[d] += [{"line": int(line - lines[d]), "label": a, "containment": c} for a, c in hits]
+                    found[d] += [{"line": int(line - lines[d]), "label": matcher.templates[k][0], "containment": c} for k, c in hits]
+                    single |= {(int(line), k) for k, _ in hits}
+            first, last = _paragraphs(w, lines)
+            own_paragraph = np.unique(np.searchsorted(first, np.searchsorted(w.bounds, at, "right") - 1, "right") - 1)
+            for a, b in zip(first[own_paragraph], last[own_paragraph], strict=True):
+                if a == b:
+                    continue
+                ws = w.distinct.take(pa.array(w.codes[w.bounds[a] : w.bounds[b + 1]])).to_pylist()
+                d = int(np.searchsorted(lines, a, "right") - 1)
+                for k, _ in matcher.matches(set(ws)):
+                    for p, q, c in matcher.windows(k, ws):
+                        x, y = (int(np.searchsorted(w.bounds, w.bounds[a] + i, "right") - 1) for i in (p, q))
+                        if x < y and not any((line, k) in single for line in range(x, y + 1)):
+                            found[d].append({"line": x - int(lines[d]), "label": matcher.templates[k][0], "containment": c})
+            for fs in found:
+                fs.sort(key=lambda f: f["line"])
             own_labels = [sorted({x for v in b.values() for x in v}) for b in base]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -217,6 +217,32 @@ def test_license_words_across_lines(spark):
     assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (14, 3, 1, 6, "apache,gpl,mit")
 
 
+def test_wrapped_notices(spark):
+    mit = "x = 1\n# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the Software)\n#\nmore"
+    bsd = "Redistribution and use in source and binary forms, with or without\r\nmodification, are permitted provided that the following conditions\r\nare met:"
+    parted = "Redistribution and use in source and binary forms, with or without\n\nmodification, are permitted provided that the following conditions are met"
+    thin = "all " + "w " * 40 + "\nrights " + "w " * 40 + "\nreserved"
+    line = "a b\nAll rights reserved.\nc"
+    two = ["all rights", "reserved"]
+    rows = [(k, t) for k, t in enumerate([mit, bsd, parted, thin, line, "\n".join([*two, "", *two])])] + [(6, "all rights"), (7, "reserved")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: [(b["line"], b["label"], b["containment"]) for b in r["blocks"]] for r in license_scan.license_scan(df).collect()}
+    reserved = "all-rights-reserved"
+    assert got == {0: [(1, "mit", 1.0)], 1: [(0, "bsd", 1.0)], 2: [], 3: [], 4: [(1, reserved, 1.0)], 5: [(0, reserved, 1.0), (3, reserved, 1.0)], 6: [], 7: []}
+
+
+def test_windows_lose_none():
+    rng, words = random.Random(9), "abcdef"
+    for _ in range(300):
+        template = "".join(rng.sample(words, 4))
+        matcher = license_scan.Matcher([("l", " ".join(template))], {}, 0.75)
+        ws = [rng.choice("abcdefxyz") for _ in range(rng.randint(0, 30))]
+        most = max((len(set(ws[i : i + 8]) & set(template)) for i in range(len(ws))), default=0)
+        got = matcher.windows(0, ws)
+        assert max((c for _, _, c in got), default=0) == (most / 4 if most >= 3 else 0)
+        assert all(b - a < 8 and len(set(ws[a : b + 1]) & set(template)) == 4 * c for a, b, c in got)
+
+
 # --- packing --------------------------------------------------------------------------------------------------------
 
 
