@@ -18,6 +18,8 @@ import xxhash
 
 #: Text bytes that are worked on at once; a longer single text makes a batch of its own.
 BATCH_BYTES = 8 << 20
+#: What a row counts for besides its text, so that many empty texts make several batches.
+ROW_BYTES = 16
 
 
 @dataclass
@@ -68,7 +70,7 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BA
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0), np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0), np.int64) + ROW_BYTES
         start = 0
         for k in np.flatnonzero(np.diff((size + np.cumsum(sizes)) // most, prepend=size // most)).tolist():
             held.append(batch.slice(start, k + 1 - start))

@@ -1,4 +1,9 @@
-"""A gated recurrent layer in NumPy: steps forward, and backpropagation through time. float32 throughout."""
+"""A gated recurrent layer in NumPy: reading, and backpropagation through time.
+
+With s(a) = a / (1 + |a|), three cheap array operations where tanh would take most of a step, update gate z and reset gate r are
+(1 + s(a)) / 2 and the candidate c is s(a). The next state is h + z (c - h). A layer is a dictionary: x, what a symbol adds to the
+three (a row for each symbol); hg, hc, the recurrent weights of the gates and of the candidate.
+"""
 
 from __future__ import annotations
 
@@ -14,33 +19,115 @@ def glorot(rng: np.random.Generator, *shape: int) -> np.ndarray:
 
 
 def new_layer(rng: np.random.Generator, inputs: int, hidden: int) -> dict[str, np.ndarray]:
-    """x: what a symbol adds to update gate, reset gate and candidate (a table row for each symbol); h*: recurrent weights."""
     return {"x": (rng.standard_normal((inputs, 3 * hidden)) * 0.2).astype(np.float32), "hg": glorot(rng, hidden, 2 * hidden), "hc": glorot(rng, hidden, hidden)}
 
 
-def step(p: dict[str, np.ndarray], symbols: np.ndarray, h: np.ndarray):
-    """The next state and what the way back needs."""
-    n = h.shape[1]
-    x = p["x"][symbols]
-    gates = sigmoid(x[:, : 2 * n] + h @ p["hg"])
-    z, r = gates[:, :n], gates[:, n:]
-    rh = r * h
-    c = np.tanh(x[:, 2 * n :] + rh @ p["hc"])
-    return h + z * (c - h), (symbols, h, gates, rh, c)
-
-
-def back(p: dict[str, np.ndarray], grads: dict[str, np.ndarray], kept, dh: np.ndarray) -> np.ndarray:
-    """Adds this step's gradients and gives that of the state before."""
-    symbols, h, gates, rh, c = kept
-    n = h.shape[1]
-    z, r = gates[:, :n], gates[:, n:]
-    dc = dh * z * (1 - c * c)
-    drh = dc @ p["hc"].T
-    grads["hc"] += rh.T @ dc
-    dgates = np.concatenate([dh * (c - h), drh * h], 1) * gates * (1 - gates)
-    grads["hg"] += h.T @ dgates
-    np.add.at(grads["x"], symbols, np.concatenate([dgates, dc], 1))
-    return dh * (1 - z) + drh * r + dgates @ p["hg"].T
+def squash(a: np.ndarray, room: np.ndarray) -> None:
+    """s(a), in place; room is of a's shape."""
+    np.abs(a, out=room)
+    room += 1
+    a /= room
+
+
+class Reader:
+    """Steps of a layer without a way back, in buffers that stay in cache: nothing is allocated while reading."""
+
+    def __init__(self, p: dict[str, np.ndarray], lanes: int):
+        n = p["hc"].shape[0]
+        self.x = [np.ascontiguousarray(p["x"][:, k * n : (k + 1) * n]) for k in range(3)]
+        self.gates, self.hc = np.stack([p["hg"][:, :n], p["hg"][:, n:]]), p["hc"] * p["hc"].dtype.type(0.5)
+        self.room = np.empty((2, lanes, n), self.hc.dtype), np.empty((2, lanes, n), self.hc.dtype)
+
+    def step(self, symbols: np.ndarray, h: np.ndarray, out: np.ndarray) -> None:
+        """The states after symbols, from the states h; out may be h itself."""
+        g, x = (b[:, : len(symbols)] for b in self.room)
+        for k in (0, 1):
+            np.take(self.x[k], symbols, 0, out=x[k], mode="clip")
+        np.matmul(h, self.gates, out=g)
+        g += x
+        squash(g, x)
+        g += 1  # twice the gates; the weights of the candidate and the last step are halved instead
+        z, r, c, room = g[0], g[1], x[0], x[1]
+        r *= h
+        np.matmul(r, self.hc, out=c)
+        np.take(self.x[2], symbols, 0, out=room, mode="clip")
+        c += room
+        squash(c, room)
+        c -= h
+        z *= c
+        z *= 0.5
+        np.add(h, z, out=out)
+
+
+def forward(p: dict[str, np.ndarray], symbols: np.ndarray, h: np.ndarray, starts: np.ndarray | None = None):
+    """States (steps, lanes, hidden) over symbols (steps, lanes), and what the way back needs. starts is 0 where a state is forgotten first."""
+    n, kind = p["hc"].shape[0], p["hc"].dtype
+    steps, lanes = symbols.shape
+    gates, before, reset, cand, states = np.empty((steps, 2, lanes, n), kind), *(np.empty((steps, lanes, n), kind) for _ in range(4))
+    w = np.stack([p["hg"][:, :n], p["hg"][:, n:]])
+    xz, xr, xc = (np.take(np.ascontiguousarray(p["x"][:, k * n : (k + 1) * n]), symbols, 0) for k in range(3))
+    room = np.empty((2, lanes, n), kind)
+    for t in range(steps):
+        before[t] = h if starts is None else h * starts[t][:, None]
+        h = before[t]
+        g = np.matmul(h, w, out=gates[t])
+        g[0] += xz[t]
+        g[1] += xr[t]
+        squash(g, room)
+        rh = np.multiply(g[1], h, out=reset[t])
+        rh += h
+        rh *= 0.5
+        c = np.matmul(rh, p["hc"], out=cand[t])
+        c += xc[t]
+        squash(c, room[0])
+        move = np.subtract(c, h, out=room[0])
+        np.add(g[0], 1, out=room[1])
+        move *= room[1]
+        move *= 0.5
+        h = np.add(h, move, out=states[t])
+    return states, (symbols, before, gates, reset, cand, starts)
+
+
+def backward(p: dict[str, np.ndarray], kept, dstates: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the layer, given those of the states at every step."""
+    symbols, before, gates, reset, cand, starts = kept
+    n, kind = p["hc"].shape[0], before.dtype
+    steps, lanes = symbols.shape
+    # The slopes of s, by what they meet on the way: of the update gate with c - h, of the reset gate with h.
+    slope_g = 1 - np.abs(gates)
+    slope_g *= slope_g
+    slope_g *= 0.5
+    slope_g[:, 0] *= cand - before
+    slope_g[:, 1] *= before
+    slope_c = 1 - np.abs(cand)
+    slope_c *= slope_c
+    gates = (gates + 1) * kind.type(0.5)
+    slope_c *= gates[:, 0]
+    keep = 1 - gates[:, 0]
+    dg, dc, dh = np.empty((steps, 2, lanes, n), kind), np.empty((steps, lanes, n), kind), np.zeros((lanes, n), kind)
+    w, hc = np.stack([p["hg"][:, :n].T, p["hg"][:, n:].T]), np.ascontiguousarray(p["hc"].T)
+    drh, room = np.empty((lanes, n), kind), np.empty((2, lanes, n), kind)
+    for t in reversed(range(steps)):
+        dh += dstates[t]
+        np.multiply(dh, slope_c[t], out=dc[t])
+        np.matmul(dc[t], hc, out=drh)
+        np.multiply(dh, slope_g[t, 0], out=dg[t, 0])
+        np.multiply(drh, slope_g[t, 1], out=dg[t, 1])
+        dh *= keep[t]
+        drh *= gates[t, 1]
+        dh += drh
+        np.matmul(dg[t], w, out=room)
+        dh += room[0]
+        dh += room[1]
+        if starts is not None:
+            dh *= starts[t][:, None]
+    rows = np.concatenate([dg[:, 0], dg[:, 1], dc], 2).reshape(-1, 3 * n)
+    flat = symbols.ravel()
+    order = np.argsort(flat.astype(np.uint16) if len(p["x"]) <= 1 << 16 else flat, kind="stable")
+    first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    grads = {"x": np.zeros_like(p["x"]), "hg": before.reshape(-1, n).T @ rows[:, : 2 * n], "hc": reset.reshape(-1, n).T @ rows[:, 2 * n :]}
+    grads["x"][flat[order][first]] = np.add.reduceat(rows[order], first)
+    return grads
 
 
 class Adam:

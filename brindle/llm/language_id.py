@@ -1,11 +1,14 @@
-"""Language identification by a bidirectional gated recurrent network over bytes, in NumPy.
+"""Language identification by a bidirectional gated recurrent network over the bytes of whole documents, in NumPy.
 
-The network reads windows: the UTF-8 bytes of one word between two space bytes, at most WINDOW of them (longer words are cut
-into several windows). It gives every byte position label probabilities; a document's are the mean over all its positions.
-A window's result depends on its bytes alone, so equal words of a batch are read once and counted as often as they stand.
+Every byte of a text's UTF-8 gets label probabilities, from the state of a layer that has read up to it and of one that has read
+back to it; a document's are the mean over all its bytes. Words, spaces and marks are read alike and the state runs through them.
+So that long texts are read side by side, each is cut into segments of SEGMENT bytes, and every segment is read with the CONTEXT
+bytes before and after it, which only prepare the states: a text up to a segment long is read in one piece, and in a longer
+one each byte has at least CONTEXT bytes (or the text's end) behind the states at it. A result depends on the text alone.
 
-It is fitted by backpropagation through time on the driver, on at most `fit_docs` labelled documents (those with the smallest
-hash of the id; a documented bound). All texts are then scored whole.
+The network is fitted by backpropagation through time on the driver. Its labels are all that the training rows have. Of each
+label at most `label_docs` documents (those with the smallest hash of the id; a documented bound) give PIECES windows of
+FIT_WINDOW bytes, at places dealt over the whole text, cut where the rows lie: what reaches the driver is bounded by the number of labels.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; ties go to the first label in sorted order;
 repeated rows are scored each; an empty table gives an empty one; without any labelled document everything is `und`.
@@ -14,7 +17,6 @@ Only the named columns are read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,33 +26,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.columnar import Words, plain, sliced, words
-from brindle.llm.common import bounded_sample, id_text, long_rows
-from brindle.llm.gru import Adam, back, glorot, new_layer, step
+from brindle.llm.columnar import plain, sliced
+from brindle.llm.common import id_text, long_rows
+from brindle.llm.gru import Adam, Reader, backward, forward, glorot, new_layer
 
-WINDOW = 16
-HIDDEN = 16
+SEGMENT = 1024
+CONTEXT = 64
+HIDDEN = 12
+LANES = 1024  # segments that are read side by side
+FIT_WINDOW = 64
+PIECES = 8
 SPACE = 32
 UND = "und"
 
 
-def windows(distinct: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each window length: the numbers of the words it comes from, and its bytes (n, length), spaces around included."""
-    if not len(distinct):
-        return []
-    sizes = np.asarray(pc.binary_length(distinct), np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    data = np.frombuffer(b"".join(distinct.cast(pa.large_binary()).to_pylist()), np.uint8)
-    pieces = (sizes + WINDOW - 1) // WINDOW
-    word = np.repeat(np.arange(len(sizes)), pieces)
-    at = (np.arange(len(word)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * WINDOW
-    length = np.minimum(WINDOW, sizes[word] - at)
-    out = []
-    for n in np.unique(length):
-        own = np.flatnonzero(length == n)
-        body = data[(starts[word[own]] + at[own])[:, None] + np.arange(n)]
-        out.append((word[own], np.pad(body, ((0, 0), (1, 1)), constant_values=SPACE)))
-    return out
+def segments(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all segments: the text, the bounds of what is read in it, the bounds of what counts."""
+    pieces = -(-sizes // SEGMENT)
+    text = np.repeat(np.arange(len(sizes)), pieces)
+    first = (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SEGMENT
+    last = np.minimum(first + SEGMENT, sizes[text])
+    return text, np.maximum(first - CONTEXT, 0), np.minimum(last + CONTEXT, sizes[text]), first, last
 
 
 class ByteBiGru:
@@ -63,106 +59,139 @@ class ByteBiGru:
     def _side(self, side: str) -> dict[str, np.ndarray]:
         return {k: self.p[f"{side}_{k}"] for k in ("x", "hg", "hc")}
 
-    def _read(self, data: np.ndarray):
-        """States of both directions at every position and what the way back needs."""
-        n, length = data.shape
-        states, kept = np.empty((length, n, 2 * HIDDEN), np.float32), {"f": [], "b": []}
-        for side, order, place in (("f", range(length), slice(0, HIDDEN)), ("b", range(length - 1, -1, -1), slice(HIDDEN, None))):
-            p, h = self._side(side), np.zeros((n, HIDDEN), np.float32)
-            for t in order:
-                h, k = step(p, data[:, t], h)
-                states[t, :, place] = h
-                kept[side].append((t, k))
-        return states, kept
-
-    def positions(self, data: np.ndarray) -> np.ndarray:
-        """Label probabilities at every position: (length, n, labels)."""
-        logits = self._read(data)[0] @ self.p["out"] + self.p["bias"]
-        logits = np.exp(logits - logits.max(-1, keepdims=True))
-        return logits / logits.sum(-1, keepdims=True)
-
-    def _gradients(self, data: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
-        states, kept = self._read(data)
+    def gradients(self, data: np.ndarray, label: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+        """Of the mean loss over all positions of windows (steps, lanes), and that loss."""
+        (steps, lanes), n = data.shape, HIDDEN
+        zero = np.zeros((lanes, n), self.p["bias"].dtype)
+        f, kept_f = forward(self._side("f"), data, zero)
+        b, kept_b = forward(self._side("b"), data[::-1], zero)
+        states = np.concatenate([f, b[::-1]], 2)
         logits = states @ self.p["out"] + self.p["bias"]
         prob = np.exp(logits - logits.max(-1, keepdims=True))
         prob /= prob.sum(-1, keepdims=True)
-        prob[:, np.arange(len(label)), label] -= 1
-        prob /= np.float32(prob.shape[0] * prob.shape[1])
-        grads = {k: np.zeros_like(v) for k, v in self.p.items()}
-        grads["out"] = np.tensordot(states, prob, ([0, 1], [0, 1]))
-        grads["bias"] = prob.sum((0, 1))
+        loss = -float(np.log(np.maximum(prob[:, np.arange(lanes), label], 1e-30)).mean())
+        prob[:, np.arange(lanes), label] -= 1
+        prob /= prob.dtype.type(steps * lanes)
+        grads = {"out": np.tensordot(states, prob, ([0, 1], [0, 1])), "bias": prob.sum((0, 1))}
         dstates = prob @ self.p["out"].T
-        for side, place in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, None))):
-            p, own, dh = self._side(side), {k: grads[f"{side}_{k}"] for k in ("x", "hg", "hc")}, np.zeros((data.shape[0], HIDDEN), np.float32)
-            for t, k in reversed(kept[side]):
-                dh = back(p, own, k, dh + dstates[t][:, place])
-        return grads
-
-    def fit(self, data: list[tuple[np.ndarray, np.ndarray, np.ndarray]], steps: int = 900, batch: int = 512, rate: float = 0.01, seed: int = 11) -> ByteBiGru:
-        """data: for each window length its bytes, labels and weights (how often it stood in the sample)."""
+        for side, kept, d in (("f", kept_f, dstates[:, :, :n]), ("b", kept_b, dstates[::-1, :, n:])):
+            grads |= {f"{side}_{k}": v for k, v in backward(self._side(side), kept, d).items()}
+        return grads, loss
+
+    def fit(self, data: np.ndarray, label: np.ndarray, steps: int = 200, batch: int = 384, rate: float = 0.03, seed: int = 11) -> ByteBiGru:
+        """data: windows (n, FIT_WINDOW) of bytes. Every label is drawn alike."""
         rng = np.random.default_rng(seed)
-        mass = np.array([w.sum() for _, _, w in data])
         adam = Adam(self.p, rate)
-        draws = [w / w.sum() for _, _, w in data]
+        own = [np.flatnonzero(label == k) for k in range(len(self.labels))]
         for k in range(steps):
-            i = rng.choice(len(data), p=mass / mass.sum())
-            own = rng.choice(len(draws[i]), batch, p=draws[i])
-            adam.update(self._gradients(data[i][0][own], data[i][1][own]), 1 - 0.9 * k / steps)
+            drawn = rng.integers(0, len(own), batch)
+            rows = np.array([own[d][rng.integers(len(own[d]))] for d in drawn])
+            adam.update(self.gradients(np.ascontiguousarray(data[rows].T).astype(np.intp), label[rows])[0], 1 - 0.95 * k / steps)
         return self
 
-    def word_sums(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """For each word its label probabilities summed over its positions, and how many positions that are."""
-        sums, counts = np.zeros((len(distinct), len(self.labels))), np.zeros(len(distinct))
-        for word, data in windows(distinct):
-            for a in range(0, len(word), 8192):
-                own = word[a : a + 8192]
-                np.add.at(sums, own, self.positions(data[a : a + 8192]).sum(0))
-                np.add.at(counts, own, data.shape[1])
-        return sums, counts
-
-    def texts(self, w: Words) -> np.ndarray:
-        """Label probabilities of each text (rows of zeros for texts without a word)."""
-        sums, counts = self.word_sums(w.distinct)
-        text = w.text_of()
-        out = np.stack([np.bincount(text, sums[w.codes, k], w.n_texts) for k in range(len(self.labels))], 1)
-        total = np.bincount(text, counts[w.codes], w.n_texts)
-        return out / np.maximum(total, 1)[:, None]
-
-
-def fit(docs: DataFrame, train: Column, fit_docs: int = 2000, id_col: str = "doc_id", text: str = "text", label: str = "lang") -> ByteBiGru | None:
-    """Learns from at most fit_docs rows of the condition `train` with text and label; None if there is none."""
+    def sums(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Label probabilities of the bytes [first, last) of each lane, summed; lane k is data[start[k]:start[k] + size[k]], sizes fall."""
+        steps, lanes, k = int(size[0]), len(size), len(self.labels)
+        live = np.searchsorted(-size, -np.arange(steps), "left")  # lanes that have a byte t
+        ahead, out = np.empty((steps, lanes, k), np.float32), np.zeros((lanes, k), np.float32)
+        h, after, e, total = *(np.zeros((lanes, HIDDEN), np.float32) for _ in range(2)), *(np.empty((lanes, k), np.float32) for _ in range(2))
+        layer, weights = Reader(self._side("f"), lanes), np.ascontiguousarray(self.p["out"][:HIDDEN])
+        for t in range(steps):
+            n = live[t]
+            layer.step(data[start[:n] + t], h[:n], after[:n])
+            np.matmul(after[:n], weights, out=ahead[t, :n])
+            h, after = after, h
+        h[:] = 0
+        layer, weights, ones = Reader(self._side("b"), lanes), np.ascontiguousarray(self.p["out"][HIDDEN:]), np.ones((k, k), np.float32)
+        bias = np.tile(self.p["bias"], (lanes, 1))
+        all_from, all_to = first.max(), last.min()
+        for t in reversed(range(steps)):  # lanes join where they end
+            n = live[t]
+            layer.step(data[start[:n] + t], h[:n], h[:n])
+            p, s = e[:n], total[:n]
+            np.matmul(h[:n], weights, out=p)
+            p += ahead[t, :n]
+            p += bias[:n]
+            np.exp(p, out=p)  # |state| < 1, so logits are as bounded as the weights
+            np.matmul(p, ones, out=s)
+            p /= s
+            if not all_from <= t < all_to:
+                p *= ((t >= first[:n]) & (t < last[:n]))[:, None]
+            out[:n] += p
+        return out
+
+    def texts(self, texts: pa.Array) -> np.ndarray:
+        """Label probabilities of each text, as plain() gives them (rows of zeros for empty ones)."""
+        _, offsets, data = texts.buffers()
+        out = np.zeros((len(texts), len(self.labels)))
+        if not len(texts) or data is None or not data.size:
+            return out
+        bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data, np.uint8)
+        sizes = np.diff(bounds)
+        text, lo, hi, first, last = segments(sizes)
+        order = np.argsort(lo - hi, kind="stable")
+        for a in range(0, len(order), LANES):
+            own = order[a : a + LANES]
+            t = text[own]
+            np.add.at(out, t, self.sums(data, bounds[t] + lo[own], hi[own] - lo[own], first[own] - lo[own], last[own] - lo[own]))
+        return out / np.maximum(sizes, 1)[:, None]
+
+
+def fit_windows(texts: list[str], seeds: np.ndarray) -> np.ndarray:
+    """PIECES windows of each text: one from each of as many equal parts of it; a shorter text with spaces after it."""
+    rows = []
+    for text, seed in zip(texts, seeds.tolist(), strict=True):
+        data = np.frombuffer(text.encode(), np.uint8)
+        rng = np.random.default_rng(seed & 0xFFFFFFFF)
+        room = len(data) - FIT_WINDOW
+        if room <= 0:
+            rows.append(np.pad(data, (0, -room), constant_values=SPACE)[None])
+            continue
+        at = ((np.arange(PIECES) + rng.random(PIECES)) / PIECES * room).astype(np.int64)
+        rows.append(data[np.unique(at)[:, None] + np.arange(FIT_WINDOW)])
+    return np.concatenate(rows) if rows else np.empty((0, FIT_WINDOW), np.uint8)
+
+
+def fit(docs: DataFrame, train: Column, label_docs: int = 600, id_col: str = "doc_id", text: str = "text", label: str = "lang") -> ByteBiGru | None:
+    """Learns from the rows of the condition `train` with text and label, at most label_docs of each label; None if there is none."""
     rows = docs.filter(train & F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"), F.xxhash64(id_text(id_col)).alias("h"))
-    rows = bounded_sample(rows, fit_docs, "h").collect()
-    labels = sorted({r["label"] for r in rows})
-    counts: dict[str, Counter] = {k: Counter() for k in labels}
-    for r in rows:
-        counts[r["label"]].update(r["text"].split())
-    seen = [(w, k, n) for k, x in enumerate(labels) for w, n in sorted(counts[x].items())]
-    if not seen:
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # a row for each label
+    if not counts:
         return None
-    label_mass = Counter()
-    for _, k, n in seen:
-        label_mass[k] += n
-    kind = np.array([k for _, k, _ in seen])
-    weight = np.array([n / label_mass[k] for _, k, n in seen])  # every label counts alike
-    data = [(x, kind[word], weight[word]) for word, x in windows(pa.array([w for w, _, _ in seen], pa.large_string()))]
-    return ByteBiGru(labels).fit(data)
+    labels = sorted(counts)
+    # A hash limit of each label that about one and a half times as many rows stay under, so that no task sends more than its share.
+    limit = {k: (1 << 63) - 1 if n <= 2 * label_docs else int(-(1 << 63) + (1 << 64) * 1.5 * label_docs / n) for k, n in counts.items()}
+    under = F.create_map(*[F.lit(x) for k in labels for x in (k, limit[k])])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            texts, seeds = plain(batch.column(0)).to_pylist(), np.asarray(batch.column(2))
+            own = [fit_windows([t], seeds[k : k + 1]).tobytes() for k, t in enumerate(texts)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(own, pa.binary())], names=["label", "h", "windows"])
+
+    drawn = long_rows(rows.filter(F.col("h") <= under[F.col("label")])).mapInArrow(cut, "label string, h long, windows binary")
+    found: dict[str, list] = {k: [] for k in labels}
+    for r in drawn.collect():  # at most about twice label_docs rows of each label, of PIECES windows each
+        found[r["label"]].append((r["h"], bytes(r["windows"])))
+    data = [np.frombuffer(b"".join(w for _, w in sorted(found[k])[:label_docs]), np.uint8).reshape(-1, FIT_WINDOW) for k in labels]
+    return ByteBiGru(labels).fit(np.concatenate(data), np.repeat(np.arange(len(labels)), [len(x) for x in data]))
 
 
 def predict(docs: DataFrame, model: ByteBiGru | None, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score, and the columns named in keep."""
     extra = [T.StructField(k, docs.schema[k].dataType) for k in keep]
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *extra])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size for each label
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in sliced(batches):
-            w = words(plain(batch.column(1)))
-            lettered = np.asarray(pc.match_substring_regex(w.distinct, r"\p{L}"))
-            has = np.bincount(w.text_of(), lettered[w.codes], w.n_texts) > 0
-            if model is None or not len(w.distinct):
-                name, score = np.full(w.n_texts, UND, object), np.zeros(w.n_texts)
-            else:
-                prob = model.texts(w)
+            texts = plain(batch.column(1))
+            has = np.asarray(pc.match_substring_regex(texts, r"\p{L}"))
+            name, score = np.full(len(has), UND, object), np.zeros(len(has))
+            if model is not None and has.any():
+                prob = model.texts(pc.if_else(pa.array(has), texts, ""))
                 name = np.where(has, np.array(model.labels, object)[prob.argmax(1)], UND)
                 score = np.where(has, prob.max(1), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name, pa.string()), pa.array(np.clip(score, 0.0, 1.0)), *batch.columns[2:]], names=schema.names)

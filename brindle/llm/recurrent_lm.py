@@ -2,16 +2,20 @@
 
 Words are runs without ASCII white space after lower-casing A-Z; every document has one end token after its words.
 
-Counting. A map step codes a block of documents and writes it with its words and their counts in training documents. Blocks'
-words (not documents') are dealt by word, so the count of each word comes back to the blocks that have it: a word as
-frequent as any costs a row for each block. The blocks themselves are bucketed and never move.
+Blocks. Documents are dealt by a hash of id and text to shards of about BLOCK_BYTES of text and sorted by it. A shard is a block; one
+of more than four times that size is cut into several. So a block, and all that is learned from it, is the same however the table is
+split into files and tasks. A map step codes each block and writes it with its words and their counts in training documents.
 
-Model. The most frequent training words, VOCABULARY or the square root of the distinct ones if more, have ids by rank, all others share one; a word of those then has its unigram
+Counting. The blocks' counts are summed by word, first within each task. The most frequent words, VOCABULARY or the square root of
+the distinct ones if more, go to all tasks with their counts. Only the other words (each at most 1 / VOCABULARY of all tokens) are
+joined with their counts and brought back to the blocks that have them. The blocks themselves are bucketed and never move.
+
+Model. The vocabulary's words have ids by rank, all others share one; a word of those then has its unigram
 probability among them, so the model is a distribution over all texts, with the base's half count for unseen words.
 Ids are cut into classes of equal mass of square-rooted frequency: p(word) = p(class | state) p(word | class, state). The
-network is first fitted on the driver on at most `fit_docs` documents, then every map task goes on by itself over all training
-documents of its share of the corpus (`one_in` > 1 takes those whose hash falls in one of so many parts), and the tasks' parameters
-are averaged by tokens seen. Both use backpropagation through time truncated to a window.
+network is first fitted on the driver on at most `fit_docs` documents. From there every block goes on by itself over all its training
+documents (`one_in` > 1 takes those whose hash falls in one of so many parts), and the blocks' parameters are averaged by tokens
+seen. Both use backpropagation through time truncated to a window.
 
 Scoring. All documents of a block advance together; a window's states are kept, its output layer is worked out at once, and the
 state is carried into the next window, so a document of any length gets its complete log-likelihood.
@@ -22,21 +26,23 @@ tokens the model gives the base (each token probability 1); an empty table gives
 
 from __future__ import annotations
 
+import copy
 import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm.columnar import plain, sliced, words
 from brindle.llm.common import bounded_sample, id_text, in_fold, long_rows, new_path, written
-from brindle.llm.gru import Adam, glorot, new_layer, step
+from brindle.llm.gru import Adam, Reader, backward, forward, glorot, new_layer
 
 #: The end token; no word can be white space.
 END = "\n"
@@ -44,9 +50,11 @@ VOCABULARY = 2047
 HIDDEN = 16
 WINDOW = 16
 LANES = 128
-#: Of a task's share, which is longer than the driver's.
-TASK_LANES = 512
+#: Of a block, which is longer than the driver's sample.
+BLOCK_LANES = 256
 BLOCK_BYTES = 4 << 20
+#: Text bytes of a task that reads blocks back, about.
+TASK_BYTES = 64 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -118,34 +126,12 @@ class ClassLM:
 
     def gradients(self, before: np.ndarray, target: np.ndarray, h: np.ndarray):
         """Of the mean loss of a window (steps, lanes) from the state h; the loss and the last state. A lane starts anew after an end token."""
-        p, grads = self._layer(), {k: np.zeros_like(v) for k, v in self.p.items()}
-        steps, lanes = before.shape
-        n = HIDDEN
-        states, kept, starts = np.empty((steps, lanes, n), np.float32), [], []
-        for t in range(steps):
-            starts.append((before[t] != 0).astype(np.float32)[:, None])
-            h, k = step(p, before[t], h * starts[t])
-            states[t] = h
-            kept.append(k)
-        logp, dstates = self.output(states.reshape(-1, n), target.ravel(), grads)
-        dstates = dstates.reshape(states.shape)
-        dh, dx = np.zeros_like(h), np.empty((steps, lanes, 3 * n), np.float32)
-        for t in reversed(range(steps)):
-            dh = dh + dstates[t]
-            _, h0, gates, rh, c = kept[t]
-            z, r = gates[:, :n], gates[:, n:]
-            dc = dh * z * (1 - c * c)
-            drh = dc @ p["hc"].T
-            grads["hc"] += rh.T @ dc
-            dgates = np.concatenate([dh * (c - h0), drh * h0], 1) * gates * (1 - gates)
-            grads["hg"] += h0.T @ dgates
-            dx[t, :, : 2 * n], dx[t, :, 2 * n :] = dgates, dc
-            dh = (dh * (1 - z) + drh * r + dgates @ p["hg"].T) * starts[t]
-        flat, order = before.ravel(), np.argsort(before.ravel(), kind="stable")
-        first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        grads["x"][flat[order][first]] = np.add.reduceat(dx.reshape(-1, 3 * n)[order], first)
+        states, kept = forward(self._layer(), before, h, (before != 0).astype(h.dtype))
+        grads = {k: np.zeros_like(self.p[k]) for k in ("wc", "bc", "wo", "bo")}
+        logp, dstates = self.output(states.reshape(-1, HIDDEN), target.ravel(), grads)
+        grads |= backward(self._layer(), kept, dstates.reshape(states.shape))
         size = np.float32(before.size)
-        return {k: g / size for k, g in grads.items()}, -float(logp.mean()), h
+        return {k: g / size for k, g in grads.items()}, -float(logp.mean()), states[-1]
 
     @staticmethod
     def lanes(stream: np.ndarray, most: int) -> tuple[int, int]:
@@ -172,7 +158,7 @@ class ClassLM:
         size = np.diff(bounds)
         order = np.argsort(-size, kind="stable")
         size, first = size[order], bounds[:-1][order]
-        out, h, p = np.zeros(len(size)), np.zeros((len(size), HIDDEN), np.float32), self._layer()
+        out, h, layer = np.zeros(len(size)), np.zeros((len(size), HIDDEN), np.float32), Reader(self._layer(), len(size))
         live, t, window = len(size), 0, 4 * WINDOW
         while live:
             states, targets, rows = [], [], []
@@ -181,8 +167,9 @@ class ClassLM:
                 if not live:
                     break
                 before = ids[first[:live] + t - 1] if t else np.zeros(live, np.int64)
-                h, _ = step(p, before, h[:live])
-                states.append(h)
+                states.append(np.empty((live, HIDDEN), np.float32))
+                layer.step(before, h[:live], states[-1])
+                h = states[-1]
                 targets.append(ids[first[:live] + t])
                 rows.append(np.arange(live))
                 t += 1
@@ -215,15 +202,30 @@ class Counts:
 BLOCKS = "block long, ids array<string>, held array<boolean>, hashes array<long>, bounds binary, codes binary, words array<string>, trained array<long>"
 
 
+def _sharded(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """Shard, number in it, and rows of each block; rows come sorted by the shard in `column`."""
+
+    def pieces():
+        for batch in batches:
+            shard = np.asarray(batch.column(column))
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]]).tolist() if len(shard) else []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield int(shard[a]), batch.slice(a, b - a)
+
+    for shard, own in groupby(pieces(), lambda x: x[0]):
+        for number, rows in enumerate(sliced((x for _, x in own), most=4 * BLOCK_BYTES)):
+            yield shard, number, rows
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """doc_id, text, held, hash -> one row for each block of documents, bucketed by block."""
     spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // BLOCK_BYTES))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        for number, batch in enumerate(sliced(batches, most=BLOCK_BYTES)):
+        for shard, number, batch in _sharded(batches, 4):
             w = words(lower(plain(batch.column(1))))
             n, end = w.n_texts, len(w.distinct)
             bounds = w.bounds + np.arange(n + 1)
@@ -234,34 +236,37 @@ def blocks(docs: DataFrame) -> DataFrame:
             spelled = pa.concat_arrays([w.distinct.cast(pa.string()), pa.array([END])])
             one = lambda x, t: pa.array([x], t)
             lists = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            columns = [one(part * (1 << 32) + number, pa.int64()), lists(batch.column(0)), lists(pa.array(held)), lists(batch.column(3)), one(bounds.astype("<i4").tobytes(), pa.binary()), one(codes.tobytes(), pa.binary()), lists(spelled), lists(pa.array(trained))]
+            columns = [one(-(shard << 24) - number if number else shard, pa.int64()), lists(batch.column(0)), lists(pa.array(held)), lists(batch.column(3)), one(bounds.astype("<i4").tobytes(), pa.binary()), one(codes.tobytes(), pa.binary()), lists(spelled), lists(pa.array(trained))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = [x.split()[0] for x in BLOCKS.split(", ")]
     name = f"brindle_blocks_{uuid.uuid4().hex}"
-    coded = long_rows(docs).select(F.col("doc_id").cast("string").alias("id"), "text", "held", "hash").mapInArrow(run, BLOCKS)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = long_rows(docs).select(F.col("doc_id").cast("string").alias("id"), "text", "held", "hash", F.pmod("hash", F.lit(shards)).alias("shard"))
+    coded = dealt.repartition(parts, "shard").sortWithinPartitions("shard", "hash", "id").mapInArrow(run, BLOCKS)
     coded.write.bucketBy(parts, "block").option("path", new_path(spark, "blocks")).option("compression", "zstd").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
 def counted(coded: DataFrame) -> DataFrame:
-    """block, code, c (the word's count in all training documents), first (whether this is its row to be summed), word."""
-    rows = coded.select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("code", "x")).select("block", "code", F.col("x.words").alias("word"), F.col("x.trained").alias("n"))
-    by = Window.partitionBy("word")
-    summed = rows.select("block", "code", "word", F.sum("n").over(by).alias("c"), F.row_number().over(by.orderBy("block")).alias("k"))
-    # A word's text is needed once, to choose the vocabulary.
-    return written(summed.select("block", "code", "c", F.when((F.col("k") == 1) & (F.col("c") > 0), F.col("word")).alias("word")), "counted")
+    """word, c: how often each word of a training document stands in them."""
+    rows = coded.select(F.explode(F.arrays_zip("words", "trained")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.trained").alias("n"))
+    return written(rows.filter("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counted")
 
 
 def vocabulary(counts: DataFrame, size: int | None = None) -> Counts:
-    first = counts.filter("word is not null")
-    tokens, distinct = first.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     size = max(VOCABULARY, math.isqrt(distinct)) if size is None else size
-    top = first.orderBy(F.when(F.col("word") == END, 0).otherwise(1), F.desc("c"), "word").limit(size).collect()  # `size` rows
+    top = counts.orderBy(F.when(F.col("word") == END, 0).otherwise(1), F.desc("c"), "word").limit(size).collect()  # `size` rows
     return Counts(tokens, distinct, [r["word"] for r in top], [r["c"] for r in top])
 
 
+def others(coded: DataFrame, counts: DataFrame, known: Counts) -> DataFrame:
+    """of_block, code, c of the known words that are not in the vocabulary."""
+    common = F.broadcast(coded.sparkSession.createDataFrame([(w,) for w in known.words], "word string"))  # as many as vocabulary() collects
+    rows = coded.select(F.col("block").alias("of_block"), F.posexplode("words").alias("code", "word")).join(common, "word", "left_anti")
+    return rows.join(counts.hint("merge"), "word").select("of_block", "code", "c")
+
+
 def fit(docs: DataFrame, coded: DataFrame, counts: Counts, fit_docs: int = 800, one_in: int = 1) -> ClassLM | None:
     """docs: doc_id, text, held, hash. None without training tokens."""
     if not counts.tokens:
@@ -278,13 +283,10 @@ def fit(docs: DataFrame, coded: DataFrame, counts: Counts, fit_docs: int = 800,
     names = list(model.p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task goes on from the common model over its share; its parameters, times the tokens they saw."""
+        """Every block goes on from the common model; the sum of the task's blocks' parameters, times the tokens they saw."""
         from pyspark import TaskContext
 
-        import copy
-
-        own, known = copy.deepcopy(shared.value)
-        adam, seen = Adam(own.p, 0.002), 0
+        (common, known), total, seen = shared.value, 0.0, 0
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k] for c in ("bounds", "codes", "words", "held", "hashes")}
@@ -293,14 +295,18 @@ def fit(docs: DataFrame, coded: DataFrame, counts: Counts, fit_docs: int = 800,
                 pick = np.flatnonzero(~held & (hashes % one_in == 0))
                 ids = known.ids(row["words"].values)
                 stream = np.concatenate([[0], *(ids[codes[bounds[k] : bounds[k + 1]]] for k in pick)]).astype(np.int64)
+                own, tokens = copy.deepcopy(common), len(stream) - 1
+                adam = Adam(own.p, 0.002)
                 while len(stream) > 1:  # what doesn't fill the lanes goes on in fewer
-                    lanes, length = own.lanes(stream, TASK_LANES)
-                    own.train(stream, adam, most=TASK_LANES)
-                    seen += lanes * length
+                    lanes, length = own.lanes(stream, BLOCK_LANES)
+                    own.train(stream, adam, most=BLOCK_LANES)
                     stream = stream[lanes * length :]
-        flat = np.concatenate([own.p[k].ravel() for k in names]).astype("<f8") * seen
+                total = total + np.concatenate([own.p[k].ravel() for k in names]).astype("<f8") * tokens
+                seen += tokens
+        if not seen:
+            return
         part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array([part % 256], pa.int32()), pa.array([part], pa.int32()), pa.array([flat.tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["lane", "part", "total", "seen"])
+        yield pa.RecordBatch.from_arrays([pa.array([part % 256], pa.int32()), pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["lane", "part", "total", "seen"])
 
     schema = "lane int, part int, total binary, seen long"
 
@@ -334,7 +340,7 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both base-10 logarithms) of every document."""
     held_out = in_fold(5, 1, id_col) if held_out is None else held_out
     id_type = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), held_out.alias("held"), F.xxhash64(id_text(id_col)).alias("hash"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), held_out.alias("held"), F.xxhash64(id_text(id_col), F.col(text)).alias("hash"))
     coded = blocks(rows)
     counts = counted(coded)
     known = vocabulary(counts)
@@ -343,18 +349,18 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
     kinds = (("id", pa.string()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        """One block, and the counts of its words."""
+        """One block, and the counts of its words outside the vocabulary."""
         model, known = shared.value
         row = {c: left.column(c)[0] for c in ("ids", "held", "bounds", "codes", "words")}
         bounds, codes = np.frombuffer(row["bounds"].as_buffer(), "<i4").astype(np.int64), np.frombuffer(row["codes"].as_buffer(), "<i4")
-        c = np.zeros(len(row["words"].values))
+        ids = known.ids(row["words"].values)
+        c = np.append(np.array(known.counts, np.float64), 0.0)[ids]
         c[np.asarray(right.column("code"))] = np.asarray(right.column("c"))
         doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         per = lambda values: np.bincount(doc, values[codes], len(bounds) - 1)
         base = per(np.log10((c + 0.5) / (known.tokens + 0.5 * (known.distinct + 1))))
         total = base
         if model is not None:
-            ids = known.ids(row["words"].values)
             tokens, distinct = known.rest()
             spelled = np.where(ids == len(known.words), np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1))), 0.0)
             total = model.score(ids[codes], bounds) / np.log(10) + per(spelled)
@@ -364,5 +370,5 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
 
     schema = "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     left = coded.select("block", "ids", "held", "bounds", "codes", "words").groupBy("block")
-    scored = left.cogroup(counts.select("block", "code", "c").groupBy("block")).applyInArrow(run, schema)
+    scored = left.cogroup(others(coded, counts, known).groupBy("of_block")).applyInArrow(run, schema)
     return scored.select(F.col("id").cast(id_type).alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

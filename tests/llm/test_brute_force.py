@@ -157,7 +157,7 @@ def test_lm_is_a_distribution_and_carries_its_state():
     for d, s in zip(docs, scores, strict=True):
         h, total, last = np.zeros((1, recurrent_lm.HIDDEN), np.float32), 0.0, 0
         for t in d:
-            h, _ = gru.step(m._layer(), np.array([last]), h)
+            h = gru.forward(m._layer(), np.array([[last]]), h)[0][0]
             total, last = total + m.output(h, np.array([t]))[0][0], t
         assert abs(total - s) < 1e-3 * max(1, abs(total))
 
@@ -189,6 +189,12 @@ def test_lm_learns_from_every_training_token(spark):
     assert known.tokens == want and recurrent_lm.fit(rows, coded, known, 10).seen == want
 
 
+def test_lm_is_the_same_however_the_table_is_split(spark):
+    docs = table(spark, SF, "documents")
+    one, other = ({r["doc_id"]: r["score"] for r in recurrent_lm.score(docs.repartition(n)).collect()} for n in (2, 7))
+    assert one.keys() == other.keys() and all(abs(one[d] - other[d]) <= 1e-4 * max(1, abs(one[d])) for d in one)
+
+
 def test_vocabulary_follows_the_counts(spark, monkeypatch):
     monkeypatch.setattr(recurrent_lm, "VOCABULARY", 5)
     counts = spark.range(400).selectExpr("id as c", "concat('w', id) as word").filter("c > 0")
@@ -283,22 +289,57 @@ def test_byte_network_gradients():
     rng = np.random.default_rng(3)
     m = language_id.ByteBiGru(["a", "b", "c"])
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
-    data, label = rng.integers(0, 256, (5, 7)), rng.integers(0, 3, 5)
-
-    def loss():
-        p = m.positions(data)
-        return -np.log(p[:, np.arange(5), label]).mean()
-
-    grads = m._gradients(data, label)
+    data, label = rng.integers(0, 256, (7, 5)), rng.integers(0, 3, 5)
+    grads = m.gradients(data, label)[0]
     for k in m.p:
-        for _ in range(4):
-            at = (int(data[rng.integers(5), rng.integers(7)]), int(rng.integers(m.p[k].shape[1]))) if k.endswith("_x") else tuple(rng.integers(0, s) for s in m.p[k].shape)
+        for _ in range(6):
+            at = (int(data[rng.integers(7), rng.integers(5)]), int(rng.integers(m.p[k].shape[1]))) if k.endswith("_x") else tuple(rng.integers(0, s) for s in m.p[k].shape)
             old, both = m.p[k][at], []
-            for e in (1e-3, -1e-3):
+            for e in (1e-5, -1e-5):
                 m.p[k][at] = old + e
-                both.append(loss())
+                both.append(m.gradients(data, label)[1])
             m.p[k][at] = old
-            assert abs((both[0] - both[1]) / 2e-3 - grads[k][at]) <= 1e-4 + 0.02 * abs(grads[k][at])
+            assert abs((both[0] - both[1]) / 2e-5 - grads[k][at]) <= 1e-6 + 0.001 * abs(grads[k][at])
+
+
+def brute_language(m, text):
+    """The mean of the label probabilities of every byte, byte by byte, in float64."""
+    data, labels = text.encode(), len(m.labels)
+    squash = lambda x: x / (1 + np.abs(x))
+
+    def walk(p, part):
+        n, h, out = language_id.HIDDEN, np.zeros(language_id.HIDDEN), []
+        x, hg, hc = (p[k].astype(np.float64) for k in ("x", "hg", "hc"))
+        for c in part:
+            gates = (1 + squash(x[c, : 2 * n] + h @ hg)) / 2
+            h = h + gates[:n] * (squash(x[c, 2 * n :] + (gates[n:] * h) @ hc) - h)
+            out.append(h)
+        return out
+
+    total = np.zeros(labels)
+    for first in range(0, len(data), language_id.SEGMENT):
+        last = min(first + language_id.SEGMENT, len(data))
+        lo, hi = max(0, first - language_id.CONTEXT), min(len(data), last + language_id.CONTEXT)
+        f, b = walk(m._side("f"), data[lo:hi]), walk(m._side("b"), data[lo:hi][::-1])[::-1]
+        for t in range(first - lo, last - lo):
+            e = np.exp(np.concatenate([f[t], b[t]]) @ m.p["out"] + m.p["bias"])
+            total += e / e.sum()
+    return total / max(1, len(data))
+
+
+def test_language_of_whole_documents(spark, texts):
+    """The query's rows against the network run byte by byte over whole texts, the longest and the shortest among them."""
+    docs = table(spark, SF, "documents")
+    m = language_id.fit(docs, ~recurrent_lm.in_fold(5, 0, "doc_id"))
+    got = {r["doc_id"]: r for r in language_id.predict(docs, m).collect()}
+    by_size = sorted(texts, key=lambda d: (len(texts[d]), d))
+    pick = [d for d in by_size if 2 * language_id.SEGMENT < len(texts[d]) < 9000][-2:] + by_size[:20] + [d for d in by_size if 1000 < len(texts[d]) < 1100][:3]
+    for d in pick:
+        p = brute_language(m, texts[d])
+        if any(c.isalpha() for c in texts[d]):
+            assert got[d]["lang_pred"] == m.labels[p.argmax()] and abs(got[d]["score"] - p.max()) < 1e-3
+        else:
+            assert (got[d]["lang_pred"], got[d]["score"]) == ("und", 0.0)
 
 
 def test_language_held_out(spark):
@@ -306,14 +347,21 @@ def test_language_held_out(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.95 * len(rows)
 
 
-def test_windows_cover_every_byte():
-    ws = ["a", "é" * 20, "x" * 33, "ab"]
-    parts = collections.defaultdict(bytes)
-    for word, data in language_id.windows(pa.array(ws, pa.large_string())):
-        for k, row in zip(word, data, strict=True):
-            assert row[0] == row[-1] == 32 and len(row) <= language_id.WINDOW + 2
-            parts[k] += bytes(row[1:-1].astype(np.uint8))
-    assert all(sorted(parts[k]) == sorted(w.encode()) for k, w in enumerate(ws))
+def test_segments_count_every_byte_once():
+    sizes = np.array([0, 1, language_id.SEGMENT, language_id.SEGMENT + 1, 5 * language_id.SEGMENT - 3])
+    text, lo, hi, first, last = language_id.segments(sizes)
+    for k, n in enumerate(sizes):
+        own = text == k
+        assert sorted(x for a, b in zip(first[own], last[own], strict=True) for x in range(a, b)) == list(range(n))
+        assert all(lo[own] == np.maximum(first[own] - language_id.CONTEXT, 0)) and all(hi[own] == np.minimum(last[own] + language_id.CONTEXT, n))
+
+
+def test_rare_languages_are_learned(spark):
+    """A language that one document in a hundred has is among the labels, and is told."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rare = spark.createDataFrame([(10**6 + k, " ".join(["zzyx qqvor xxkli wwopq"] * 12), "xx") for k in range(8)], "doc_id long, text string, lang string")
+    m = language_id.fit(docs.select("doc_id", "text", "lang").union(rare), F.lit(True), label_docs=40)
+    assert "xx" in m.labels and {r["lang_pred"] for r in language_id.predict(rare, m).collect()} == {"xx"}
 
 
 def test_prior_and_quality_from_positives_alone():
