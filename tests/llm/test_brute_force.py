@@ -413,7 +413,7 @@ def test_near_duplicates(spark):
     rng.shuffle(texts)
     got = {r["row"]["doc_id"]: r["class_key"] for r in near_dup.near_dup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     _, value, _ = near_dup.shingles(columnar.words(pa.array(texts, pa.large_string())))
-    weights = near_dup.idf(np.bincount((value >> np.uint64(46)).astype(int), minlength=near_dup.COUNTERS), len(texts))
+    weights = near_dup.idf(np.bincount(near_dup.counters(value).ravel(), minlength=near_dup.SKETCH * near_dup.COUNTERS), len(texts))
     root = list(range(len(texts)))
     for a in range(len(texts)):
         others = list(range(a + 1, len(texts)))
@@ -455,26 +455,50 @@ def test_search_finds_all_above_the_threshold():
             assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
-def test_bounds_lose_no_passage(spark):
-    bench, docs = table(spark, SF, "benchmark"), table(spark, SF, "documents")
-    index = decontaminate.BlockMaxIndex([tuple(r) for r in bench.select("item_id", "text").orderBy("item_id", "text").collect()])
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(docs, bench).collect()}
-    want, stride = set(), index.longest
-    for r in docs.collect():
-        ws = decontaminate.tokens(r["text"])
-        for a in range(0, max(1, len(ws)), stride):
-            part = ws[a : a + 2 * stride]
-            for k, _ in index.search(set(part), 0.6):
-                q, x = index.overlap(k, part)
-                if q >= 0.6 and x >= 0.4:
-                    want.add((r["doc_id"], index.items[k][0]))
-    assert got == want and got
-
-
-def test_shards_find_the_same(spark):
-    bench, docs = table(spark, SF, "benchmark"), table(spark, SF, "documents")
-    pairs = lambda df: {(r["doc_id"], r["item_id"]) for r in df.collect()}
-    assert pairs(decontaminate.contamination(docs, bench, shard_bytes=3000)) == pairs(decontaminate.contamination(docs, bench))
+def brute_contamination(docs, items, threshold=0.6, question=0.6, answer=0.4):
+    """(doc, item) -> (score, start, overlaps), from the definitions alone: BM25 of every item against every passage."""
+    word = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").translate(str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})))
+    items = [(i, t, word(t)) for i, t in items if word(t)]
+    df = collections.Counter(w for _, _, ws in items for w in set(ws))
+    n, mean = len(items), sum(len(ws) for _, _, ws in items) / len(items)
+    grams = lambda ws, k: {tuple(ws[a : a + k]) for a in range(max(1, len(ws) - k + 1))} if ws else set()
+    out = {}
+    for i, t, ws in items:
+        weight = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for w, f in collections.Counter(ws).items()}
+        total, step = sum(weight.values()), 1
+        while step < len(ws):
+            step *= 2
+        sentences = [p for p in re.split(r"(?<=[.!?])\s+", t.strip()) if word(p)]
+        q, a = (word(" ".join(sentences[:-1])), word(sentences[-1])) if len(sentences) > 1 else (ws[: len(ws) - max(1, len(ws) // 5)], ws[len(ws) - max(1, len(ws) // 5) :])
+        q, a = grams(q, 3), grams(a, 3)
+        for d, text in docs:
+            ds = word(text)
+            for start in range(0, len(ds), step):
+                part = ds[start : start + 2 * step]
+                score = sum(weight.get(w, 0) for w in set(part)) / total
+                if score >= threshold - 1e-9:
+                    got = [sum(g in grams(part, len(g)) for g in x) / len(x) if x else 1.0 for x in (q, a)]
+                    if (got[0] >= question and got[1] >= answer) or (q and got[0] >= 0.9) or got[0] * len(q) + got[1] * len(a) >= question * (len(q) + len(a)) - 1e-9:
+                        out[d, i] = max(out.get((d, i), (-1,)), (score, -start, *got))
+                if start + 2 * step >= len(ds):
+                    break
+    return out
+
+
+def test_contamination_is_all_of_it(spark):
+    """Against every item and every passage by brute force; items of common words alone and a very long one among them, in one shard and in many."""
+    bench = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").select("item_id", "text").collect()]
+    common = " ".join(w for w, _ in collections.Counter(w for _, t in bench for w in decontaminate.tokens(t)).most_common(9))
+    bench += [(9001, common), (9002, " ".join(t for _, t in bench[:9])), (9003, "Two words."), (9004, None), (9005, "?!")]
+    docs = [(r["doc_id"], r["text"]) for r in table(spark, SF, "documents").select("doc_id", "text").collect() if len(r["text"] or "") < 9000]
+    docs += [(70001, f"some words before {common} and some after"), (70002, "x " * 300 + (bench[3][1] or "")), (70003, bench[-4][1]), (70004, "two words")]
+    want = brute_contamination(docs, [x for x in bench if x[1]])
+    df, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    for shard_bytes in (1 << 20, 4000):
+        got = {(r["doc_id"], r["item_id"]): (r["score"], -r["start"], r["question_overlap"], r["answer_overlap"]) for r in decontaminate.contamination(df, items, shard_bytes=shard_bytes).collect()}
+        assert got.keys() == want.keys() and {(70001, 9001), (70002, bench[3][0]), (70003, 9002), (70004, 9003)} <= got.keys()
+        assert all(abs(x - y) < 1e-9 for k in got for x, y in zip(got[k], want[k], strict=True))
+        assert {r["doc_id"] for r in decontaminate.clean(df, items, shard_bytes=shard_bytes).collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
 def test_answers_veto_nothing(spark):
