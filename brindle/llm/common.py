@@ -87,3 +87,19 @@ def keyed(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, bool]:
     order = hashed.select("id", "hash").distinct().orderBy("id", "hash")
     numbered = written(order.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF(T.StructType([T.StructField("n_id", docs.schema[id_col].dataType), T.StructField("n_hash", T.LongType()), T.StructField("key", T.LongType())])), "keys")
     return hashed.join(numbered, F.col("id").eqNullSafe(F.col("n_id")) & F.col("hash").eqNullSafe(F.col("n_hash"))).select("key", "text", "row"), False
+
+
+#: A key with more than this part of all rows is hot; there are fewer than HOT such keys, whatever the table's size.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, unique: DataFrame, on: str, total: int) -> DataFrame:
+    """rows joined with unique: a row for each key, with n, how many of the `total` rows have it (dropped).
+
+    The hot keys, fewer than HOT by counting, are broadcast, so their rows stay where they lie; the others are joined by a shuffle in which no key
+    has more than a HOT-th of the rows.
+    """
+    most = max(HOT, total // HOT)
+    hot = F.broadcast(unique.filter(F.col("n") > most).drop("n"))
+    cold = rows.join(hot.select(on), on, "left_anti").join(unique.filter(F.col("n") <= most).drop("n").hint("merge"), on)
+    return rows.join(hot, on).unionByName(cold)

@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import written
+from brindle.llm.common import join_hot, written
 
 
 def _pairs(df: DataFrame, u: str, v: str) -> DataFrame:
     return df.select(F.col(u).alias("u"), F.col(v).alias("v"))
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Edges (u > v). Every node's neighbours (large: the greater ones; small: the lesser ones and itself) are tied to its least."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """Edges (u > v). Every node's neighbours (large: the greater ones; small: the lesser ones and itself) are tied to its least.
+
+    A node may have most edges; `total` (of the edges) tells which do, see join_hot.
+    """
     if large:
         both = edges.union(_pairs(edges, "v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        tied = both.filter("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("v"), F.count("*").alias("n")).select("u", F.least("u", "v").alias("m"), "n")
+        tied = join_hot(both, least, "u", 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-        near = edges.join(least, F.col("u") == F.col("c"))
+        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        near = join_hot(edges, least, "u", total)
         tied = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v")))
     return tied.filter("u > v").distinct()
 
@@ -34,7 +37,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges, before = written(edges, "edges"), None
     most = edges.count()  # steps never add an edge
     while True:
-        edges = written(_star(_star(edges, True), False), "edges", most)
+        edges = written(_star(_star(edges, True, most), False, most), "edges", most)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

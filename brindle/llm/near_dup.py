@@ -1,16 +1,19 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
 Shingles are runs of five words; a text with fewer has one, of all its words. A shingle's weight in a text is its count
-times a smoothed inverse document frequency, 1 + DAMP * ln((N+1)/(df+1)) / ln(N+2). The small DAMP keeps the weighted
-similarity near the plain one for groups so large that their own shingles are frequent. Frequencies come from one pass over
-all texts into a sketch of fixed size (hashed counters less their mean load), summed in two levels.
+times 1 + DAMP * idf, with idf = ln(N / df) / ln(RARE) between 0 (in every text) and 1 (in one of RARE texts, or fewer). So it is the
+same function of a shingle's share of the texts at every size. A share down to 1 / RARE is what the sketch tells well: two rows of
+COUNTERS hashed counters, each less its mean load, of which the smaller counts. A counter's mean load is the mean number of a text's
+shingles / COUNTERS of all texts, again at every size. DAMP is below 1 so that near copies in groups that hold much of a table, whose
+common shingles are frequent and whose own ones rare, keep a weighted similarity near the plain one.
 
 Texts with the same words are one class and only its least document goes on. Each class draws BANDS * ROWS samples; those
 that agree in a band meet in a bucket. No bucket is ever paired out: every member is compared with the bucket's least, links
-make components, and only where a bucket still holds several components are members of different ones compared, in blocks,
-if their samples agree often enough (a pair of similarity 0.8 falls below that with a chance of about 1 in 5000).
+make components, and only where a bucket still holds several components are members compared, in blocks, those of the bucket's largest
+component with the others alone. Before texts are read, AGREE of the samples must agree, which a pair of similarity 0.8 misses with
+a chance of 1.2e-7 (and all its bands with one of 6e-4).
 All candidates are verified on whole texts. No partner or candidate is ever capped. Joins that move texts or samples are
-merge joins at every size, so what a small table shows holds for a large one.
+merge joins at every size, so what a small table shows holds for a large one; keys that may hold much of a table are joined by join_hot.
 
 Defined results: texts without a word are classes of their own; ids that are null or repeated are ordered by (id, text
 hash), and fully repeated rows share a class; an empty table gives none; other columns may have any name.
@@ -27,19 +30,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm.columnar import Words, mix, plain, rolling, run_starts, sliced, words
-from brindle.llm.common import keyed, long_rows, written
+from brindle.llm.common import join_hot, keyed, long_rows, written
 from brindle.llm.components import components
 from brindle.llm.substring_dedup import Hashes
 
 SHINGLE = 5
 BANDS, ROWS = 14, 4
 SAMPLES = BANDS * ROWS
-DAMP = 0.1
+DAMP = 0.3
+RARE = 256
 COUNTERS = 1 << 18
+SKETCH = 2  # rows of counters
 PARTS = 64  # that the sketch is sent in
 LEVELS_A_LOG = 8  # sampling weights are rounded to this part of a natural logarithm; verification takes them as they are
 LEVELS = 14 * LEVELS_A_LOG
-AGREE = 34  # of SAMPLES, at least, for members of different components to be compared
+AGREE = 28  # of SAMPLES, at least, for two texts to be compared
 BLOCK = 512
 VERIFIED = 20_000  # candidates of a task
 
@@ -71,16 +76,23 @@ def identities(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return h.ranges(a, b), mix(placed[b] - placed[a] - a.astype(np.uint64) * (once[b] - once[a]))  # places count from the text's start
 
 
+def counters(value: np.ndarray) -> np.ndarray:
+    """The counter of each shingle in each row of the sketch: (SKETCH, n)."""
+    return np.stack([((value >> np.uint64(64 - 18 * (k + 1))).astype(np.int64) & (COUNTERS - 1)) + k * COUNTERS for k in range(SKETCH)])
+
+
 def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     """The sketch over all rows, and how many rows have a shingle."""
+    size = SKETCH * COUNTERS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total, n = np.zeros(COUNTERS, np.int64), 0
+        total, n = np.zeros(size, np.int64), 0
         for batch in sliced(batches):
             text, value, _ = shingles(words(plain(batch.column(0))))
-            total += np.bincount((value >> np.uint64(64 - 18)).astype(np.int64), minlength=COUNTERS)
+            for own in counters(value):
+                total += np.bincount(own, minlength=size)
             n += len(np.unique(text))
         own = [x.astype("<i8").tobytes() for x in np.split(total, PARTS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([TaskContext.get().partitionId() % 256] * PARTS, pa.int32()), pa.array(own, pa.binary()), pa.array([n] + [0] * (PARTS - 1), pa.int64())], names=["part", "lane", "counts", "n"])
@@ -96,7 +108,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
                 if (part, lane) != at:
                     if at is not None:
                         out.append((*at, total.tobytes(), n))
-                    at, total, n = (part, lane), np.zeros(COUNTERS // PARTS, np.int64), 0
+                    at, total, n = (part, lane), np.zeros(size // PARTS, np.int64), 0
                 total += np.frombuffer(counts, "<i8")
                 n += own
         if at is not None:
@@ -107,22 +119,22 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     for keys in (["part", "lane"], ["part"]):
         lane = F.col("lane") if len(keys) == 2 else F.lit(0)
         sums = sums.withColumn("lane", lane).repartition(*[F.col(k) for k in keys]).sortWithinPartitions("part", "lane").mapInArrow(add, schema)
-    total, n = np.zeros(COUNTERS, np.int64), 0
+    total, n, own = np.zeros(size, np.int64), 0, size // PARTS
     for r in sums.collect():  # PARTS rows of a fixed size
-        size = COUNTERS // PARTS
-        total[r["part"] * size : (r["part"] + 1) * size] += np.frombuffer(r["counts"], "<i8")
+        total[r["part"] * own : (r["part"] + 1) * own] += np.frombuffer(r["counts"], "<i8")
         n += r["n"]
     return total, n
 
 
 def idf(total: np.ndarray, n: int) -> np.ndarray:
-    """The weight of a shingle by its counter."""
-    df = np.clip(total - (total.sum() - total) / (COUNTERS - 1), 1, max(n, 1))
-    return (1 + DAMP * np.log((n + 1) / (df + 1)).clip(0) / np.log(n + 2)).astype(np.float64)
+    """The weight that each counter gives a shingle."""
+    rows = total.reshape(SKETCH, COUNTERS)
+    df = rows - (rows.sum(1, keepdims=True) - rows) / (COUNTERS - 1)
+    return (1 + DAMP * np.log(max(n, 1) / np.clip(df, max(n / RARE, 1), max(n, 1))) / np.log(RARE)).ravel()
 
 
 def weights(value: np.ndarray, count: np.ndarray, table: np.ndarray) -> np.ndarray:
-    return count * table[(value >> np.uint64(64 - 18)).astype(np.int64)]
+    return count * table[counters(value)].max(0)
 
 
 class Sampler:
@@ -218,11 +230,22 @@ def verified(pairs: DataFrame, texts: DataFrame, table: np.ndarray, threshold: f
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def _met(members: DataFrame) -> DataFrame:
-    """Members (bucket, band, key, component, samples) dealt to blocks of about BLOCK; every two blocks of a bucket meet in a group (bucket, x, y)."""
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    meet = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _met(members: DataFrame, signed: DataFrame, total: int) -> DataFrame:
+    """Members (bucket, band, key, component), at most `total`, with their samples, dealt to blocks of about BLOCK; blocks meet in groups (bucket, x, y).
+
+    Members of a bucket's largest component are linked already and have blocks of their own, behind the others'. Blocks of others meet
+    each other and those; those never meet. So a bucket of n members, all but m in one component, sends about n * m / BLOCK rows twice.
+    """
+    parts = members.groupBy("bucket", "component").count()
+    sizes = parts.groupBy("bucket").agg(F.sum("count").alias("n"), F.max(F.struct("count", "component")).alias("most"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = sizes.select("bucket", "n", F.col("most.component").alias("largest"), blocks(F.col("n") - F.col("most.count")).alias("some"), blocks(F.col("most.count")).alias("rest"))
+    dealt = join_hot(members, sizes, "bucket", total).withColumn("linked", F.col("component") == F.col("largest"))
+    place = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    dealt = dealt.withColumn("own", F.when(F.col("linked"), F.col("some") + place("rest")).otherwise(place("some")))
+    last = F.when(F.col("linked"), F.col("some") - 1).otherwise(F.col("some") + F.col("rest") - 1)
+    meet = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    meet = meet.join(signed.select("key", "samples").hint("merge"), "key")
     return meet.select("bucket", "band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "key", "component", "samples")
 
 
@@ -303,10 +326,10 @@ def _verifier(threshold: float):
     return verify
 
 
-def cross_links(members: DataFrame, texts: DataFrame, table: np.ndarray, threshold: float, most: int) -> DataFrame:
+def cross_links(members: DataFrame, signed: DataFrame, texts: DataFrame, table: np.ndarray, threshold: float, most: int) -> DataFrame:
     """a, b: links between members of one bucket and different components, enough to join all components that any link joins."""
     kinds = "bucket long, band int, x int, y int, own int, key long, component long, samples array<int>"
-    agreed = written(_met(members).groupBy("bucket", "x", "y").applyInArrow(_agree, kinds), "agreed", most, VERIFIED)
+    agreed = written(_met(members, signed, most).groupBy("bucket", "x", "y").applyInArrow(_agree, kinds), "agreed", most, VERIFIED)
     own = packed(texts.join(agreed.select("key").distinct(), "key", "left_semi"), table)
     return agreed.join(own, "key").groupBy("bucket", "x", "y").applyInArrow(_verifier(threshold), "a long, b long").distinct()
 
@@ -315,14 +338,14 @@ def near_classes(rows: DataFrame, threshold: float = 0.8, repeated: bool = False
     """key, class_key (least key of the component) for rows (key, text, ...), one row for each key; keys that repeat have one text."""
     table = idf(*document_frequencies(rows))
     signed = written(signatures(rows, table), "signatures").dropDuplicates(["key"]) if repeated else written(signatures(rows, table), "signatures")
-    full = signed.filter("n_words > 0")
-    lead = full.groupBy("h1", "h2").agg(F.min("key").alias("lead"))
-    member = full.select("key", "h1", "h2").join(lead, ["h1", "h2"]).select("key", "lead")
+    full = signed.filter("n_words > 0").select("key", F.struct("h1", "h2").alias("h"))
+    n_docs = signed.count()
+    lead = full.groupBy("h").agg(F.min("key").alias("lead"), F.count("*").alias("n"))
+    member = join_hot(full, lead, "h", n_docs).select("key", "lead")
     leads = signed.join(lead.select(F.col("lead").alias("key")).hint("merge"), "key", "left_semi")
     placed = leads.select("key", F.posexplode("buckets").alias("band", "bucket"))
-    least = placed.groupBy("bucket").agg(F.min("key").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    n_docs = signed.count()
-    shared = written(placed.join(least, "bucket"), "buckets", BANDS * n_docs)
+    least = placed.groupBy("bucket").agg(F.min("key").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    shared = written(join_hot(placed, least, "bucket", BANDS * n_docs), "buckets", BANDS * n_docs)
     n_shared = shared.count()
     candidates = written(rows.select("key", "text").join(shared.select("key").distinct().hint("merge"), "key", "left_semi"), "candidates", n_docs, 5_000)
     candidates = candidates.dropDuplicates(["key"]) if repeated else candidates
@@ -336,9 +359,9 @@ def near_classes(rows: DataFrame, threshold: float = 0.8, repeated: bool = False
     # Buckets that still hold several components.
     labelled = shared.select("bucket", "band", "key").join(found.select(F.col("id").alias("key"), "component"), "key", "left")
     labelled = written(labelled.select("bucket", "band", "key", F.coalesce("component", "key").alias("component")), "labelled", n_shared)
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket")
-    members = labelled.join(mixed, "bucket").join(signed.select("key", "samples"), "key")
-    more = written(cross_links(members, candidates, table, threshold, n_shared), "links", n_shared, VERIFIED)
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).filter("x < y").select("bucket", "n")
+    members = written(join_hot(labelled, mixed, "bucket", BANDS * n_docs), "members", n_shared)
+    more = written(cross_links(members, signed, candidates, table, threshold, n_shared), "links", n_shared, VERIFIED)
     if more.limit(1).collect():
         found = components(links.select("a", "b").union(more))
     of_lead = member.join(found.select(F.col("id").alias("lead"), "component"), "lead", "left").select("key", F.coalesce("component", "lead").alias("class_key"))
