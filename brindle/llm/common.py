@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,10 +13,12 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    A session that names none is a local one (tests); only then a folder of this machine is set.
+    A local session (tests) that names none gets a folder of this machine; on a cluster that would be no shared one, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -78,15 +80,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, bool]:
-    """key (long, in the documents' order), text, row (all columns), and whether keys are unique: the id itself where it can be."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.struct("*").alias("row"))
+    """key (long, in the documents' order), text, row (all columns), and whether keys are unique: the id itself where it can be.
+
+    text is a field of row: what needs both carries row alone.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.struct("*").alias("row"))
+    own = F.col("row").getField(text).alias("text")
     integral = isinstance(docs.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
     if integral and not rows.groupBy("id").count().filter("id is null or count > 1").limit(1).collect():
-        return rows.select(F.col("id").cast("long").alias("key"), "text", "row"), True
-    hashed = rows.withColumn("hash", F.xxhash64("text"))
-    order = hashed.select("id", "hash").distinct().orderBy("id", "hash")
-    numbered = written(order.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF(T.StructType([T.StructField("n_id", docs.schema[id_col].dataType), T.StructField("n_hash", T.LongType()), T.StructField("key", T.LongType())])), "keys")
-    return hashed.join(numbered, F.col("id").eqNullSafe(F.col("n_id")) & F.col("hash").eqNullSafe(F.col("n_hash"))).select("key", "text", "row"), False
+        return rows.select(F.col("id").cast("long").alias("key"), own, "row"), True
+    hashed = rows.withColumn("hash", F.xxhash64(own))
+    order = hashed.select("id", "hash").distinct()
+    keys = written(numbered(order, ["id", "hash"], "key"), "keys").select(F.col("id").alias("n_id"), F.col("hash").alias("n_hash"), "key")
+    return hashed.join(keys, F.col("id").eqNullSafe(F.col("n_id")) & F.col("hash").eqNullSafe(F.col("n_hash"))).select("key", own, "row"), False
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their places (from 0) in a total order: sorted in ranges, counted by range, numbered in each."""
+    placed = written(rows.orderBy(*order).withColumn("range", F.spark_partition_id()), "ordered")
+    counts = [(r["range"], r["count"]) for r in placed.groupBy("range").count().orderBy("range").collect()]  # a row for each range
+    before = {k: sum(n for _, n in counts[:at]) for at, (k, _) in enumerate(counts)}
+    if not before:
+        return placed.withColumn(name, F.lit(0).cast("long")).drop("range")
+    first = F.create_map(*[F.lit(x) for k, n in before.items() for x in (k, n)])
+    within = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return placed.withColumn(name, (first[F.col("range")] + within - 1).cast("long")).drop("range")
 
 
 #: A key with more than this part of all rows is hot; there are fewer than HOT such keys, whatever the table's size.

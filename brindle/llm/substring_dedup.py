@@ -2,14 +2,15 @@
 
 A window is `n` consecutive words. Every window has a fingerprint: the least hash of its K-word runs. Consecutive windows
 of a document with one fingerprint form a span, which is one entry: fingerprint, an independent hash of all the span's
-words (the verification), document and place. Equal windows have equal fingerprints, so only entries with a common
+words (the verification: both are 64 bits), document and place. Equal windows have equal fingerprints, so only entries with a common
 fingerprint are ever compared; where also the span's hash is equal, every window of the span stands earlier too. Where one
 fingerprint has different spans (the edges of a copied passage), the windows of one representative of each span are compared
 one by one in the same way.
 
 The index is log-structured. Documents come in batches in the order of their keys. Each batch's first entries are written
 as one immutable run, bucketed and sorted by fingerprint; a new batch's run is merge-joined with each older run without
-moving either, and runs are compacted into one when there are more than `most_runs`.
+moving either. When there are more than `most_runs`, runs are compacted into one, by merge joins that move nothing either. A manifest, written
+anew with every change, names the runs, so an index can be opened again and go on with later documents.
 
 A third of all documents may hold one passage: entries are resolved within each map step first, so a hot fingerprint is
 shuffled at most once per step, not once per document, and nothing is ever listed by fingerprint.
@@ -21,20 +22,23 @@ gives none. Columns of other names are carried in one struct and never clash.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
-import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm.columnar import Words, mix, plain, rolling, run_starts, sliced, words
-from brindle.llm.common import keyed, long_rows, new_path, written
+from brindle.llm.common import join_hot, keyed, long_rows, new_path, written
 
 #: Words of a run whose least hash is a window's fingerprint.
 K = 6
@@ -149,36 +153,44 @@ def windows_of(docs: DataFrame, n: int) -> DataFrame:
 
 
 def resolve(entries: DataFrame, parts: int) -> DataFrame:
-    """Sorts entries by fingerprint and marks each FIRST, MIXED or AGAIN. Holds one batch and the entries of one fingerprint."""
+    """Sorts entries by fingerprint and marks each FIRST, MIXED or AGAIN. Holds one batch and one entry: what a fingerprint's first span is to be."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-
-        def marked(columns: list[np.ndarray]) -> pa.RecordBatch:
-            fp, span, key, pos, kind, new, same = _grouped(*columns)
-            group = np.ones(len(fp), bool)
-            group[1:] = fp[1:] != fp[:-1]
-            number = np.cumsum(group) - 1
-            several = (np.bincount(number, new) > 1)[number] if len(fp) else group
-            kind = np.where(new, np.where(several, MIXED, kind), AGAIN).astype(np.int8)
-            keep = new | ~same
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (fp, span, key, pos, kind)], names=["fp", "span", "key", "pos", "kind"])
-
+        kinds = (*[pa.int64()] * 4, pa.int8())
+        made = lambda columns: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["fp", "span", "key", "pos", "kind"])
+        before, several_before, held = None, False, None  # the last span's first entry; whether its fingerprint has several; its first entry, as long as it has one
         for batch in batches:
             again = np.asarray(batch.column(4)) == AGAIN
             if again.any():
                 yield batch.filter(pa.array(again))
-            columns = [np.asarray(batch.column(k))[~again] for k in range(5)]
-            if held is not None:
-                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-            if not len(columns[0]):
+                batch = batch.filter(pa.array(~again))
+            if not batch.num_rows:
                 continue
-            end = int(np.searchsorted(columns[0], columns[0][-1], "left"))
-            if end:
-                yield marked([x[:end] for x in columns])
-            held = [x[end:] for x in columns]
+            columns = [np.asarray(c) for c in batch.columns]
+            if before is not None:
+                columns = [np.append(np.array([x], y.dtype), y) for x, y in zip((*before, FIRST), columns, strict=True)]
+            fp, span, key, pos, kind = columns
+            group, new = np.ones(len(fp), bool), np.ones(len(fp), bool)
+            group[1:] = fp[1:] != fp[:-1]
+            new[1:] = group[1:] | (span[1:] != span[:-1])
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(fp)), 0))
+            keep = new | (key != key[lead]) | (pos != pos[lead])
+            number = np.cumsum(group) - 1
+            several = np.bincount(number, new) > 1
+            several[0] |= several_before
+            kind = np.where(new, np.where(several[number], MIXED, kind), AGAIN)
+            if before is not None:
+                keep[0] = False
+            if held is not None and (several[0] or len(several) > 1):
+                yield made([[x] for x in (*held[:4], MIXED if several[0] else held[4])])
+                held = None
+            if not several[-1] and held is None:
+                first = int(np.searchsorted(number, number[-1]))
+                held, keep[first] = tuple(int(x[first]) for x in (fp, span, key, pos, kind)), False
+            yield made([x[keep] for x in (fp, span, key, pos, kind)])
+            before, several_before = tuple(int(x) for x in (fp[-1], span[-1], key[lead[-1]], pos[lead[-1]])), bool(several[-1])
         if held is not None:
-            yield marked(held)
+            yield made([[x] for x in held])
 
     return entries.repartition(parts, "fp").sortWithinPartitions("fp", "span", "key", "pos").mapInArrow(run, f"{ENTRY}, kind byte")
 
@@ -199,53 +211,75 @@ def merge_joins(spark: SparkSession):
 
 @dataclass
 class Index:
-    """Immutable runs, oldest first; each a table of first entries bucketed and sorted by fingerprint."""
+    """Immutable runs, oldest first; each a table of first entries bucketed and sorted by fingerprint, named by the folder's newest manifest."""
 
     spark: SparkSession
+    folder: str
     parts: int
-    most_runs: int = 4
-    runs: list[DataFrame] = field(default_factory=list)
-
-    def _write(self, entries: DataFrame) -> DataFrame:
+    most_runs: int = 1
+    runs: list[str] = field(default_factory=list)
+    version: int = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> Index:
+        """The index that the folder's newest manifest names, in this session or another than the one that wrote it."""
+        newest = spark.read.schema("value string, version int").option("wholetext", True).text(f"{folder}/manifest").orderBy(F.desc("version")).first()
+        found = json.loads(newest["value"])
+        index = cls(spark, folder, found["parts"], found["most_runs"], found["runs"], newest["version"])
+        for name in index.runs:
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (fp BIGINT, span BIGINT, key BIGINT, pos BIGINT, kind TINYINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp, span) INTO {index.parts} BUCKETS LOCATION '{folder}/{name}'")
+        return index
+
+    def save(self) -> None:
+        self.version += 1
+        text = json.dumps({"parts": self.parts, "most_runs": self.most_runs, "runs": self.runs})
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{self.folder}/manifest/version={self.version}")
+
+    def _write(self, entries: DataFrame) -> str:
         name = f"brindle_run_{uuid.uuid4().hex}"
-        entries.write.bucketBy(self.parts, "fp").sortBy("fp", "span").option("path", new_path(self.spark, "run")).format("parquet").saveAsTable(name)
-        return self.spark.table(name)
+        entries.write.bucketBy(self.parts, "fp").sortBy("fp", "span").option("path", f"{self.folder}/{name}").format("parquet").saveAsTable(name)
+        return name
+
+    def _first(self, name: str) -> DataFrame:
+        return self.spark.table(name).filter(F.col("kind") < AGAIN).drop("kind")
 
     def add(self, docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
         """Appends a batch (key, text); gives (key, pos) of its spans that stand earlier, and of representatives to compare by window."""
-        table = self._write(resolve(fingerprints(docs, n), self.parts))
-        run = table.filter(F.col("kind") < AGAIN).drop("kind")
+        name = self._write(resolve(fingerprints(docs, n), self.parts))
+        table, run = self.spark.table(name), self._first(name)
         again, mixed = [table.filter(F.col("kind") == AGAIN).select("key", "pos")], [table.filter(F.col("kind") == MIXED).select("key", "pos")]
         with merge_joins(self.spark):
-            for old in self.runs:
-                old = old.select(*ENTRY.replace(" long", "").split(", "))
+            for old in map(self._first, self.runs):
                 again.append(written(run.join(old.select("fp", "span").hint("merge"), ["fp", "span"], "left_semi").select("key", "pos"), "again"))
                 both = written(run.join(old.select("fp").distinct().hint("merge"), "fp", "left_semi").union(old.join(run.select("fp").distinct().hint("merge"), "fp", "left_semi")), "both")
-                several = both.groupBy("fp").agg(F.min("span").alias("a"), F.max("span").alias("b")).filter("a < b").select("fp")
-                mixed.append(both.join(several, "fp", "left_semi").select("key", "pos"))
-        self.runs.append(run)
+                several = both.groupBy("fp").agg(F.min("span").alias("a"), F.max("span").alias("b"), F.count("*").alias("n")).filter("a < b").select("fp", "n")
+                mixed.append(join_hot(both, several, "fp", both.count()).select("key", "pos"))
+        self.runs.append(name)
         if len(self.runs) > self.most_runs:
             self.compact()
-        union = lambda xs: xs[0] if len(xs) == 1 else xs[0].union(union(xs[1:]))
-        return union(again), union(mixed)
+        self.save()
+        return reduce(DataFrame.union, again), reduce(DataFrame.union, mixed)
 
     def compact(self) -> None:
-        """All runs in one: the earliest entry of each span."""
-        every = self.runs[0]
-        for r in self.runs[1:]:
-            every = every.unionByName(r)
-        first = every.groupBy("fp", "span").agg(F.min(F.struct("key", "pos")).alias("first"))
-        self.runs = [self._write(first.select("fp", "span", "first.key", "first.pos").repartition(self.parts, "fp"))]
+        """All runs in one: the earliest entry of each span. Runs are merged where they lie, bucket by bucket; the older ones' files stay for who reads them."""
+        every = self._first(self.runs[0])
+        for name in self.runs[1:]:
+            new = self._first(name).select("fp", "span", F.struct("key", "pos").alias("new"))
+            old = every.select("fp", "span", F.struct("key", "pos").alias("old"))
+            every = old.join(new.hint("merge"), ["fp", "span"], "full_outer").select("fp", "span", F.coalesce("old", "new").alias("first")).select("fp", "span", "first.*")  # an older run's documents are earlier
+        with merge_joins(self.spark):
+            self.runs = [self._write(every.withColumn("kind", F.lit(FIRST).cast("byte")))]
 
 
-def _cut(docs: DataFrame, n: int) -> DataFrame:
-    """key, text, places, row -> row, n_words, n_removed, kept_text."""
+def _cut(docs: DataFrame, n: int, text: str) -> DataFrame:
+    """row, places -> row, n_words, n_removed, kept_text."""
     schema = T.StructType([docs.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            w = words(plain(batch.column(1)))
-            lists = batch.column(2)
+        with_text = (pa.RecordBatch.from_arrays([*b.columns, pc.struct_field(b.column(0), text)], names=["row", "places", "text"]) for b in batches)
+        for batch in sliced(with_text):
+            w = words(plain(batch.column(2)))
+            lists = batch.column(1)
             pos, size = np.asarray(lists.flatten(), np.int64), np.asarray(lists.value_lengths().fill_null(0), np.int64)
             at = np.repeat(w.bounds[:-1], size) + pos // SPAN
             edge = np.zeros(len(w.codes) + 1, np.int64)
@@ -253,25 +287,28 @@ def _cut(docs: DataFrame, n: int) -> DataFrame:
             np.add.at(edge, at + pos % SPAN + n - 1, -1)
             kept = np.cumsum(edge[:-1]) == 0
             before = np.concatenate([[0], np.cumsum(kept)])[w.bounds]
-            vocabulary, codes = w.distinct.to_pylist(), w.codes[kept].tolist()
-            texts = [" ".join([vocabulary[c] for c in codes[a:b]]) for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(w.counts()), pa.array(w.counts() - np.diff(before)), pa.array(texts, pa.string())], names=schema.names)
+            spelled = pa.LargeListArray.from_arrays(pa.array(before, pa.int64()), w.distinct.take(pa.array(w.codes[kept])))
+            joined = pc.binary_join(spelled, pa.scalar(" ", pa.large_string())).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w.counts()), pa.array(w.counts() - np.diff(before)), joined], names=schema.names)
 
-    return long_rows(docs).select("key", "text", "places", "row").mapInArrow(run, schema)
+    return long_rows(docs).select("row", "places").mapInArrow(run, schema)
 
 
-def substring_dedup(docs: DataFrame, n: int = 20, batches: int = 2, parts: int | None = None, index: Index | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, n: int = 20, batches: int = 2, parts: int | None = None, index: Index | None = None, id_col: str = "doc_id", text: str = "text", history: DataFrame | None = None) -> DataFrame:
     """row (all columns of docs), n_words, n_removed, kept_text: words covered by a window that starts earlier are removed.
 
-    The documents are added to the index in `batches` ranges of their keys, the smallest first.
+    The documents are added to the index in `batches` ranges of their keys, the smallest first. With an index that has documents
+    already, `history` (with the same two columns) gives those; docs' ids are whole numbers, each once, above all of theirs.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = index or Index(spark, parts)
+    index = index or Index(spark, new_path(spark, "index"), parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows, unique = keyed(docs, id_col, text)
+    if history is not None and not unique:
+        raise ValueError("documents that are added to an index need ids that are whole numbers, each once")
     cuts = rows.select("key").approxQuantile("key", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     edges = sorted({int(c) for c in cuts or []})
     ranges = [(a, b) for a, b in zip([None, *edges], [*edges, None], strict=True)]
+    known = None if history is None else history.select(F.col(id_col).cast("long").alias("key"), F.col(text).alias("text"))
     removed = []
     for low, high in ranges:
         batch = rows
@@ -283,11 +320,8 @@ def substring_dedup(docs: DataFrame, n: int = 20, batches: int = 2, parts: int |
         places = mixed.distinct().groupBy("key").agg(F.collect_list("pos").alias("places"))  # of one document
         seen = rows if high is None else rows.filter(F.col("key") <= high)
         texts = seen.select("key", "text") if unique else seen.select("key", "text").distinct()
-        compared = windows_of(texts.join(places, "key"), n)
-        single = written(resolve(compared, parts).filter(F.col("kind") == AGAIN).select("key", "pos"), "single")
+        compared = windows_of((texts if known is None else known.union(texts)).join(places, "key"), n)
+        single = written(resolve(compared, index.parts).filter(F.col("kind") == AGAIN).select("key", "pos"), "single")
         removed += [again, single]
-    every = removed[0]
-    for x in removed[1:]:
-        every = every.union(x)
-    places = every.groupBy("key").agg(F.collect_list("pos").alias("places"))  # bounded by the windows of one document
-    return _cut(rows.join(places, "key", "left"), n)
+    places = reduce(DataFrame.union, removed).groupBy("key").agg(F.collect_list("pos").alias("places"))  # bounded by the windows of one document
+    return _cut(rows.select("key", "row").join(places, "key", "left"), n, text)

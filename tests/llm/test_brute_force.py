@@ -111,15 +111,57 @@ def test_substrings(spark, n, batches):
     assert got == brute_substrings(rows, n)
 
 
-def test_index_grows_and_compacts(spark):
+def test_index_grows_and_compacts(spark, tmp_path):
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice("abcd") for _ in range(30))) for i in range(60)]
-    index = substring_dedup.Index(spark, 4, most_runs=2)
+    index = substring_dedup.Index(spark, str(tmp_path), 4, most_runs=2)
     got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 4, 5, index=index).collect()
-    assert len(index.runs) <= 2
+    assert len(index.runs) <= 2 and index.version == 5
     assert {r["row"]["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in got} == brute_substrings(rows, 4)
 
 
+def test_index_is_opened_again(spark, tmp_path):
+    """Documents that come later, in another session's hands: the runs and their manifest are all that is left of the earlier ones."""
+    rng = random.Random(10)
+    rows = [(i, " ".join(rng.choice("abcd") for _ in range(30))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first = substring_dedup.Index(spark, str(tmp_path), 4)
+    earlier, later = df.filter("doc_id < 35"), df.filter("doc_id >= 35")
+    got = substring_dedup.substring_dedup(earlier, 4, 3, index=first).collect()
+    for name in first.runs:
+        spark.sql(f"DROP TABLE {name}")
+    again = substring_dedup.Index.open(spark, str(tmp_path))
+    assert (again.runs, again.version, again.parts) == (first.runs, 3, 4) and len(again.runs) == 1
+    got += substring_dedup.substring_dedup(later, 4, 2, index=again, history=earlier).collect()
+    assert {r["row"]["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in got} == brute_substrings(rows, 4)
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_entries_resolve_alike_in_batches_of_any_size(spark, size):
+    rng = random.Random(11)
+    rows = sorted({(rng.randrange(6), rng.randrange(3), rng.randrange(20), rng.randrange(4)) for _ in range(150)}) * 2
+    entries = [(*r, rng.choice([substring_dedup.FIRST, substring_dedup.MIXED, substring_dedup.AGAIN])) for r in rows]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        got = collections.Counter(tuple(r) for r in substring_dedup.resolve(spark.createDataFrame(entries, f"{substring_dedup.ENTRY}, kind byte"), 2).collect())
+    finally:
+        spark.conf.set(key, before)
+    want = collections.Counter(e for e in entries if e[4] == substring_dedup.AGAIN)
+    live = [e for e in entries if e[4] != substring_dedup.AGAIN]
+    for fp in {e[0] for e in live}:
+        spans = {e[1] for e in live if e[0] == fp}
+        for span in spans:
+            places = sorted((e[2:4], e[4]) for e in live if e[:2] == (fp, span))
+            same = [k for p, k in places if p == places[0][0]]
+            firsts = [x for x in got if x[:4] == (fp, span, *places[0][0]) and x[4] != substring_dedup.AGAIN]
+            assert len(firsts) == 1 and firsts[0][4] in ([substring_dedup.MIXED] if len(spans) > 1 else same)
+            want[firsts[0]] += 1
+            want.update((fp, span, *p, substring_dedup.AGAIN) for p, _ in places if p != places[0][0])
+    assert got == want
+
+
 def test_substrings_with_text_ids(spark):
     rows = [("b", "x y z"), ("a", "x y z w"), ("b", "q x y z")]
     got = {(r["row"]["doc_id"], r["row"]["text"]): r["n_removed"] for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id string, text string"), 3, 1).collect()}
