@@ -1,20 +1,17 @@
 """Scalar functions as Columns, with IEEE results where Spark would raise or give null.
 
 Division by zero gives an infinity (0/0 NaN), the logarithm of zero minus infinity and of a negative number NaN. Every
-function works inside whole-stage code generation; the error function alone has no built-in and is a vectorised user function.
+function is an expression of built-in ones, so all work inside whole-stage code generation.
 Complex values are structs (re, im); the helpers take and give them.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Distance from 1 to the next double.
 EPSILON = 2.220446049250313e-16
@@ -125,22 +122,25 @@ def atanh(x) -> Column:
     return F.when(x == 1, inf()).when(x == -1, -inf()).otherwise(F.atanh(x))
 
 
-def ceil(x) -> Column:
-    return F.ceil(_col(x)).cast("double")
+def _fractional(f: Callable[[Column], Column]) -> Callable[[object], Column]:
+    """f where a double can have a fraction; larger values, infinities and NaN are whole already (NaN is above all numbers here)."""
 
+    def g(x) -> Column:
+        x = _col(x).cast("double")
+        return F.when(F.abs(x) < float(1 << 52), f(x)).otherwise(x)
 
-def floor(x) -> Column:
-    return F.floor(_col(x)).cast("double")
+    return g
 
 
-def round_half_away(x) -> Column:
-    x = _col(x).cast("double")
-    return F.when(x >= 0, floor(x + 0.5)).otherwise(ceil(x - 0.5))
+ceil = _fractional(lambda x: F.ceil(x).cast("double"))
+floor = _fractional(lambda x: F.floor(x).cast("double"))
+trunc = _fractional(lambda x: x.cast("long").cast("double"))
 
 
-def trunc(x) -> Column:
-    x = _col(x).cast("double")
-    return F.when(x >= 0, floor(x)).otherwise(ceil(x))
+@_fractional
+def round_half_away(x: Column) -> Column:
+    whole = x.cast("long").cast("double")
+    return F.when(F.abs(x - whole) >= 0.5, whole + F.signum(x)).otherwise(whole)
 
 
 def signum(x) -> Column:
@@ -148,17 +148,39 @@ def signum(x) -> Column:
 
 
 def copysign(x, sign) -> Column:
-    return F.when(_col(sign) < 0, -F.abs(_col(x))).otherwise(F.abs(_col(x)))
+    """The magnitude of x with the sign of `sign`, which a zero has as well."""
+    x, sign = _col(x), _col(sign)
+    below = (sign < 0) | ((sign == 0) & sign.cast("string").startswith("-"))
+    return F.when(below, -F.abs(x)).otherwise(F.abs(x))
+
+
+#: Terms of the series of erf below SWITCH, and of the continued fraction of erfc above; enough for a double.
+SERIES, FRACTION, SWITCH = 44, 60, 2.0
+_ROOT = 1.772453850905516  # of pi
+
 
+def _erf_series(x: Column) -> Column:
+    """2 x exp(-x^2) / sqrt(pi) * (1 + t/3 (1 + t/5 (1 + ...))), t = 2 x^2: positive terms alone."""
+    t = 2 * x * x
+    total = reduce(lambda acc, k: 1 + t / float(2 * k + 1) * acc, range(SERIES, 0, -1), F.lit(1.0))
+    return 2 / _ROOT * x * F.exp(-x * x) * total
 
-@F.pandas_udf(T.DoubleType())
-def erf(x: pd.Series) -> pd.Series:
-    return x.map(math.erf, na_action="ignore")
 
+def _erfc_fraction(x: Column) -> Column:
+    """exp(-x^2) / sqrt(pi) / (x + 1/2 / (x + 2/2 / (x + ...))), for x of SWITCH or more."""
+    x = F.greatest(x, F.lit(SWITCH))
+    return F.exp(-x * x) / _ROOT / reduce(lambda acc, k: x + (k / 2.0) / acc, range(FRACTION, 0, -1), x)
 
-@F.pandas_udf(T.DoubleType())
-def erfc(x: pd.Series) -> pd.Series:
-    return x.map(math.erfc, na_action="ignore")
+
+def erf(x) -> Column:
+    x = _col(x).cast("double")
+    far = (1 - _erfc_fraction(F.abs(x))) * F.signum(x)
+    return F.when(F.abs(x) < SWITCH, _erf_series(x)).otherwise(far)
+
+
+def erfc(x) -> Column:
+    x = _col(x).cast("double")
+    return F.when(F.abs(x) < SWITCH, 1 - _erf_series(x)).when(x < 0, 2 - _erfc_fraction(-x)).otherwise(_erfc_fraction(x))
 
 
 #: All functions of one real argument by name.

@@ -99,12 +99,12 @@ def upper_solve(A: Matrix, b: Vector, diagonal: str = "regular") -> Vector:
 
 
 def substitute(t: np.ndarray, b: np.ndarray, lower: bool) -> np.ndarray:
-    """Forward or back substitution, column by column."""
+    """Forward or back substitution, column by column, for one right side or several side by side."""
     x, n = b.astype(float).copy(), len(b)
     for k in range(n) if lower else reversed(range(n)):
         x[k] = x[k] / t[k, k]
         rest = slice(k + 1, n) if lower else slice(0, k)
-        x[rest] -= t[rest, k] * x[k]
+        x[rest] -= np.multiply.outer(t[rest, k], x[k])
     return x
 
 
@@ -147,13 +147,20 @@ def lu_apply(LU: Matrix, p: list[int], b: Vector) -> Vector:
 lu_solve_apply = lu_apply
 
 
+def _lu_solved(A: Matrix, b: Vector, pivot: bool, eps: float) -> Vector:
+    A.square()
+    f, p = lu_kernel(gathered(A), pivot, eps)
+    unit = np.tril(f, -1) + np.eye(len(f))
+    return from_numpy(A.spark, substitute(np.triu(f), substitute(unit, gathered_vector(b)[p], True), False), zeros=True)
+
+
 def lu_solve(A: Matrix, b: Vector, eps: float = EPS) -> Vector:
-    return lu_apply(*lu(A, True, eps), b)
+    return _lu_solved(A, b, True, eps)
 
 
 def lu_solve_straight(A: Matrix, b: Vector, eps: float = EPS) -> Vector:
     """Without pivots."""
-    return lu_apply(*lu(A, False, eps), b)
+    return _lu_solved(A, b, False, eps)
 
 
 def lu_adjoint_apply(LU: Matrix, p: list[int], b: Vector) -> Vector:
@@ -213,21 +220,21 @@ def determinant(A: Matrix) -> float:
 def inv(A: Matrix) -> Matrix:
     f, p = lu_kernel(gathered(A), True)
     unit, u = np.tril(f, -1) + np.eye(len(f)), np.triu(f)
-    return from_numpy(A.spark, np.stack([substitute(u, substitute(unit, e[p], True), False) for e in np.eye(len(f))], 1))
+    return from_numpy(A.spark, substitute(u, substitute(unit, np.eye(len(f))[p], True), False))
 
 
 def inv_upper(A: Matrix) -> Matrix:
     u = np.triu(gathered(A))
     if (np.diag(u) == 0).any():
         raise MatrixSingular("a zero on the diagonal")
-    return from_numpy(A.spark, np.stack([substitute(u, e, False) for e in np.eye(len(u))], 1))
+    return from_numpy(A.spark, substitute(u, np.eye(len(u)), False))
 
 
 def inv_lower(A: Matrix) -> Matrix:
     t = np.tril(gathered(A))
     if (np.diag(t) == 0).any():
         raise MatrixSingular("a zero on the diagonal")
-    return from_numpy(A.spark, np.stack([substitute(t, e, True) for e in np.eye(len(t))], 1))
+    return from_numpy(A.spark, substitute(t, np.eye(len(t)), True))
 
 
 def cholesky(A: Matrix, side: int = 64, kernel: Callable[[np.ndarray], np.ndarray] | None = None) -> Matrix:

@@ -17,7 +17,7 @@ from brindle.errors import IncompatibleShape, IncompatibleSize, IndexOutOfRange
 from brindle.functions import scalar as S
 from brindle.functions.scalar import Field
 from brindle.operators.views import conj, index_map, scale, trans
-from brindle.plans.lineage import broadcast_if_small, must_fit
+from brindle.plans.lineage import broadcast_if_small, must_fit, numbered
 
 #: Entries that an outer or Kronecker product of two operands may have, unless told otherwise.
 OUTER = 10_000_000_000
@@ -192,10 +192,12 @@ def outer(x: Vector, y: Vector, most: int = OUTER) -> Matrix:
 
 
 def kron(A: Matrix, B: Matrix, most: int = OUTER) -> Matrix:
-    """Kronecker product: all pairs of entries, each at a place of its own."""
-    must_fit(A.nrows * A.ncols * B.nrows * B.ncols, most, "the Kronecker product")
+    """Kronecker product: all pairs of entries, each at a place of its own. What is checked is the number of entries, counted; the operand of fewer is sent to the other."""
     A, B, kind = _kind(A, B)
-    pairs = _named(A.df, "a_").join(broadcast_if_small(_named(B.df, "b_"), B.nrows * B.ncols))
+    m, n = A.df.count(), B.df.count()
+    must_fit(m * n, most, "the Kronecker product")
+    a, b = _named(A.df, "a_"), _named(B.df, "b_")
+    pairs = a.join(broadcast_if_small(b, n)) if n <= m else b.join(broadcast_if_small(a, m))
     at = lambda k, n: (F.col(f"a_{k}") * n + F.col(f"b_{k}")).alias(k)
     return Matrix(pairs.select(at("i", B.nrows), at("j", B.ncols), Field(kind).mul(F.col("a_v"), F.col("b_v")).alias("v")), A.nrows * B.nrows, A.ncols * B.ncols, kind)
 
@@ -291,10 +293,12 @@ UPDATERS: dict[str, Callable[[], Column]] = {
 def insert(A: Matrix, entries: DataFrame, updater: str | Callable[[], Column], shift: tuple[int, int] = (0, 0), row_map: DataFrame | None = None, col_map: DataFrame | None = None) -> Matrix:
     """Entries (i, j, v[, seq]) merged into A. The updater has no default.
 
-    `minus` subtracts; a new place starts at -v. `store` needs the column seq unless places are unique; old entries come first.
+    `minus` subtracts; a new place starts at -v. `store` needs the column seq, whose largest wins; old entries come first.
     shift moves places; row_map and col_map (src, pos) rename them.
     """
     new = entries
+    if updater == "store" and "seq" not in new.columns:
+        raise IncompatibleShape("the updater store needs a column seq that orders the entries")
     if row_map is not None:
         new = new.join(row_map.select(F.col("src").alias("i"), F.col("pos").alias("_p")), "i").withColumn("i", F.col("_p")).drop("_p")
     if col_map is not None:
@@ -313,29 +317,19 @@ def insert(A: Matrix, entries: DataFrame, updater: str | Callable[[], Column], s
 
 def insert_block(A: Matrix, block: Sequence[Sequence[float]], rows: Sequence[int], cols: Sequence[int], updater: str = "plus") -> Matrix:
     """A small dense matrix at the given rows and columns."""
-    cells = [(int(r), int(c), float(block[a][b])) for a, r in enumerate(rows) for b, c in enumerate(cols)]
-    return insert(A, A.spark.createDataFrame(cells, "i long, j long, v double"), updater)
+    cells = [(int(r), int(c), float(block[a][b]), a * len(cols) + b) for a, r in enumerate(rows) for b, c in enumerate(cols)]
+    return insert(A, A.spark.createDataFrame(cells, "i long, j long, v double, seq long"), updater)
 
 
 def insert_matrix(A: Matrix, r: int, c: int, M: Matrix, updater: str = "store") -> Matrix:
     """M with its corner at (r, c)."""
-    return insert(A, M.df, updater, (r, c))
+    return insert(A, M.df.withColumn("seq", F.lit(0)), updater, (r, c))  # one entry for each place
 
 
 def restrict(x: Vector, tags: DataFrame) -> tuple[Vector, DataFrame]:
-    """Entries at tagged positions (i, tag), renumbered without gaps; also the map (src, pos).
-
-    Numbers come from counts of fixed ranges of positions and a running count inside each, so no task sees all rows.
-    """
-    span = 1 << 16
-    from pyspark.sql import Window
-
-    chosen = tags.filter("tag").select(F.col("i").alias("src"), F.floor(F.col("i") / span).alias("part"))
-    sizes = chosen.groupBy("part").agg(F.count("*").alias("n"))  # a row for each 65,536 positions
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    within = chosen.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("src")) - 1)
-    m = within.join(before, "part").select("src", (F.col("base") + F.col("k")).cast("long").alias("pos"))
-    n = chosen.count()
+    """Entries at tagged positions (i, tag), renumbered without gaps; also the map (src, pos). No task numbers all rows, see numbered()."""
+    m = numbered(tags.filter("tag").select(F.col("i").alias("src")), F.col("src"), name="pos")
+    n = m.count()
     return x.with_df(x.df.join(m, F.col("i") == F.col("src")).select(F.col("pos").alias("i"), "v"), size=n), m
 
 

@@ -8,16 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from brindle.core import Matrix, Vector
 from brindle.errors import IndexOutOfRange, RangeError
-
-
-def numbered(df: DataFrame, *order: Column, name: str = "k") -> DataFrame:
-    """df with its rank from 0 under a total order, as a column."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-    return df.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
+from brindle.plans.lineage import numbered
 
 
 def sort(x: Vector) -> Vector:
@@ -41,6 +35,16 @@ def sort_xy(x: Vector, y: Vector) -> DataFrame:
     return numbered(both, F.col("v"), F.col("w"), F.col("i")).select(F.col("k").alias("i"), "v", "w", F.col("i").alias("p"))
 
 
+def sort_zipped(first: Vector, *others: Vector, descending: bool = False) -> DataFrame:
+    """(i, v, w0, w1, ..., p): several vectors sorted together by the first one's entries, ties by place, and where each row stood before."""
+    rows = first.df.select("i", "v")
+    for k, x in enumerate(others):
+        first.same_size(x)
+        rows = rows.join(x.df.select("i", F.col("v").alias(f"w{k}")), "i")
+    ranked = numbered(rows, -F.col("v") if descending else F.col("v"), F.col("i"))
+    return ranked.select(F.col("k").alias("i"), "v", *[f"w{k}" for k in range(len(others))], F.col("i").alias("p"))
+
+
 def sort_entries(A: Matrix, by_column: bool = False) -> DataFrame:
     """All entries by rows, or by columns."""
     return A.df.orderBy(*(("j", "i") if by_column else ("i", "j")))
@@ -63,6 +67,13 @@ def largest(x: Vector, j: int) -> float:
     return top[j]["v"]
 
 
+def heap_top(x: Vector, j: int, smallest: bool = False) -> DataFrame:
+    """(i, v, p): the j largest (or smallest) entries, the first one first, ties by place; each task keeps j of its rows, as a heap does."""
+    order = F.col("v") if smallest else F.desc("v")
+    top = x.df.orderBy(order, "i").limit(j)
+    return top.select((F.row_number().over(Window.orderBy(order, "i")) - 1).cast("long").alias("i"), "v", F.col("i").alias("p"))
+
+
 def top_per_row(A: Matrix, p: int) -> Matrix:
     """The p entries of largest magnitude of every row, ties by column.
 

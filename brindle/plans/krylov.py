@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -80,12 +81,14 @@ class LocalSpace:
     def take(self, x: Vector | None):
         out = np.zeros(self.n)
         if x is not None:
-            for r in x.df.collect():
-                out[r["i"]] = r["v"]
+            pdf = x.df.toPandas()
+            out[pdf["i"].to_numpy(np.int64)] = pdf["v"].to_numpy(float)
         return out
 
     def give(self, x) -> Vector:
-        return Vector.of(self.spark, x.tolist())
+        from brindle.sources.constructors import from_numpy
+
+        return from_numpy(self.spark, x, zeros=True)
 
     def apply(self, x):
         return np.bincount(self.i, self.v * x[self.j], self.n)
@@ -99,6 +102,9 @@ class LocalSpace:
     def dot(self, x, y) -> float:
         return float(x @ y)
 
+    def dots(self, x, ys) -> list[float]:
+        return [float(x @ y) for y in ys]
+
     def norm(self, x) -> float:
         return float(np.linalg.norm(x))
 
@@ -155,6 +161,15 @@ class SparkSpace:
         both = x.select("i", F.col("v").alias("a")).join(y.select("i", F.col("v").alias("b")), "i")
         return both.agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0.0
 
+    def dots(self, x: DataFrame, ys: Sequence[DataFrame]) -> list[float]:
+        """x with each of ys, in one job: all vectors stand one under the other and meet by place."""
+        if not ys:
+            return []
+        rows = reduce(DataFrame.union, [y.select("i", "v", F.lit(k).alias("k")) for k, y in enumerate(ys)])
+        both = rows.join(x.select("i", F.col("v").alias("x")), "i")
+        found = {r["k"]: r["d"] for r in both.groupBy("k").agg(F.sum(F.col("v") * F.col("x")).alias("d")).collect()}
+        return [found.get(k) or 0.0 for k in range(len(ys))]
+
     def norm(self, x: DataFrame) -> float:
         return x.agg(F.sqrt(F.sum(F.col("v") * F.col("v")))).first()[0] or 0.0
 
@@ -242,7 +257,11 @@ def bicg(A, b, x0=None, pc=None, control=None, local=None):
         p = z if p is None else S.lin((1, z), (beta, p))
         q = w if q is None else S.lin((1, w), (beta, q))
         Ap, Aq = S.apply(p), S.apply_t(q)
-        alpha = rho / S.dot(q, Ap)
+        curve = S.dot(q, Ap)
+        if curve == 0:
+            c.failed(2)
+            break
+        alpha = rho / curve
         x, r, s, rho_old = S.lin((1, x), (alpha, p)), S.lin((1, r), (-alpha, Ap)), S.lin((1, s), (-alpha, Aq)), rho
         c.advance()
     return S.give(x), c
@@ -264,7 +283,11 @@ def cgs(A, b, x0=None, pc=None, control=None, local=None):
             u = S.lin((1, r), (beta, q))
             p = S.lin((1, u), (beta, q), (beta * beta, p))
         v = S.apply(L.solve(p))
-        alpha = rho / S.dot(shadow, v)
+        sigma = S.dot(shadow, v)
+        if sigma == 0:
+            c.failed(2)
+            break
+        alpha = rho / sigma
         q = S.lin((1, u), (-alpha, v))
         w = L.solve(S.lin((1, u), (1, q)))
         x, r, rho_old = S.lin((1, x), (alpha, w)), S.lin((1, r), (-alpha, S.apply(w))), rho
@@ -285,7 +308,11 @@ def bicgstab(A, b, x0=None, pc=None, control=None, local=None):
         p = r if p is None else S.lin((1, r), (beta, p), (-beta * omega, v))
         y = L.solve(p)
         v = S.apply(y)
-        alpha = rho / S.dot(shadow, v)
+        sigma = S.dot(shadow, v)
+        if sigma == 0:
+            c.failed(2)
+            break
+        alpha = rho / sigma
         s = S.lin((1, r), (-alpha, v))
         if S.norm(s) <= max(c.atol, c.rtol * (c.first or 0.0)):
             x, r = S.lin((1, x), (alpha, y)), s
@@ -293,7 +320,12 @@ def bicgstab(A, b, x0=None, pc=None, control=None, local=None):
             continue
         z = L.solve(s)
         t = S.apply(z)
-        omega = S.dot(t, s) / S.dot(t, t)
+        square = S.dot(t, t)
+        if square == 0:
+            x, r = S.lin((1, x), (alpha, y)), s
+            c.failed(2)
+            break
+        omega = S.dot(t, s) / square
         x, r, rho_old = S.lin((1, x), (alpha, y), (omega, z)), S.lin((1, s), (-omega, t)), rho
         c.advance()
     return S.give(x), c
@@ -354,9 +386,10 @@ def gmres(A, b, x0=None, pc=None, control=None, local=None, restart: int = 30):
         k = 0
         while k < restart:
             w = L.solve(S.apply(basis[k]))
-            for i in range(k + 1):
-                H[i, k] = S.dot(w, basis[i])
-                w = S.lin((1, w), (-H[i, k], basis[i]))
+            for _ in range(2):  # classical projection, twice: as orthogonal as one by one, in two passes for any number of vectors
+                h = S.dots(w, basis)
+                H[: k + 1, k] += h
+                w = S.lin((1, w), *[(-x, y) for x, y in zip(h, basis, strict=True)])
             H[k + 1, k] = S.norm(w)
             grown = H[k + 1, k] > 1e-14 * norm
             if grown:
@@ -400,7 +433,7 @@ def idr_s(A, b, x0=None, pc=None, control=None, local=None, s: int = 4):
     zero = S.take(None)
     G, U, M, omega = [zero] * s, [zero] * s, np.eye(s), 1.0
     while not c.done(S.norm(r)):
-        f = np.array([S.dot(p, r) for p in P])
+        f = np.array(S.dots(r, P))
         ended = False
         for k in range(s):
             co = np.linalg.solve(M[k:, k:], f[k:])
@@ -411,7 +444,7 @@ def idr_s(A, b, x0=None, pc=None, control=None, local=None, s: int = 4):
                 a = S.dot(P[i], g) / M[i, i]
                 g, u = S.lin((1, g), (-a, G[i])), S.lin((1, u), (-a, U[i]))
             G[k], U[k] = g, u
-            M[k:, k] = [S.dot(P[i], g) for i in range(k, s)]
+            M[k:, k] = S.dots(g, P[k:])
             if M[k, k] == 0:
                 raise SearchSpaceExhaustion("the shadow space is exhausted")
             beta = f[k] / M[k, k]
@@ -435,45 +468,48 @@ def idr_s(A, b, x0=None, pc=None, control=None, local=None, s: int = 4):
 
 
 def qmr(A, b, x0=None, pc=None, control=None, local=None):
-    """Quasi-minimal residuals over coupled two-term Lanczos recurrences; the preconditioner stands on the left."""
+    """Quasi-minimal residuals over coupled two-term Lanczos recurrences; the preconditioner stands on the left.
+
+    Lanczos vectors stay as long as they come and only their lengths are kept, so a step scales numbers, not vectors: (v, y) are
+    a residual-like vector and its preconditioned image of length `a`, w its partner for the transpose of length `e`.
+    """
     S, _, x, r, L, c = _start(A, b, x0, pc, control, local)
-    vt, wt = r, r
-    y, z = L.solve(vt), wt
-    rho, xi = S.norm(y), S.norm(z)
-    gamma, eta, theta, eps = 1.0, -1.0, 0.0, 1.0
-    p = q = d = s = None
+    v, w = r, r
+    y = L.solve(v)
+    a, e = S.norm(y), S.norm(w)
+    turn, share, weight = 1.0, 0.0, -1.0  # of the last rotation: its cosine, its tangent, and the length of the step along p
+    p = q = step = shift = None
+    pairing = 1.0
     while not c.done(S.norm(r)):
-        if 0 in (rho, xi):
+        if a == 0 or e == 0:
             c.failed(2)
             break
-        v, y, w, z = S.lin((1 / rho, vt)), S.lin((1 / rho, y)), S.lin((1 / xi, wt)), S.lin((1 / xi, z))
-        delta = S.dot(z, y)
-        if delta == 0:
+        both = S.dot(w, y) / (a * e)
+        if both == 0:
             c.failed(3)
             break
-        yt, zt = y, L.adjoint_solve(z)
-        p = yt if p is None else S.lin((1, yt), (-xi * delta / eps, p))
-        q = zt if q is None else S.lin((1, zt), (-rho * delta / eps, q))
-        pt = S.apply(p)
-        eps = S.dot(q, pt)
-        beta = eps / delta
-        if eps == 0 or beta == 0:
+        z = L.adjoint_solve(w)
+        if p is None:
+            p, q = S.lin((1 / a, y)), S.lin((1 / e, z))
+        else:
+            p, q = S.lin((1 / a, y), (-e * both / pairing, p)), S.lin((1 / e, z), (-a * both / pairing, q))
+        image = S.apply(p)
+        pairing = S.dot(q, image)
+        if pairing == 0:
             c.failed(4)
             break
-        vt = S.lin((1, pt), (-beta, v))
-        y = L.solve(vt)
-        rho_old, rho = rho, S.norm(y)
-        wt = S.lin((1, S.apply_t(q)), (-beta, w))
-        z = wt
-        xi = S.norm(z)
-        gamma_old, theta_old = gamma, theta
-        theta = rho / (gamma_old * abs(beta))
-        gamma = 1 / np.sqrt(1 + theta * theta)
-        eta = -eta * rho_old * gamma * gamma / (beta * gamma_old * gamma_old)
-        scale = (theta_old * gamma) ** 2
-        d = S.lin((eta, p)) if d is None else S.lin((eta, p), (scale, d))
-        s = S.lin((eta, pt)) if s is None else S.lin((eta, pt), (scale, s))
-        x, r = S.lin((1, x), (1, d)), S.lin((1, r), (-1, s))
+        beta = pairing / both
+        v, w = S.lin((1, image), (-beta / a, v)), S.lin((1, S.apply_t(q)), (-beta / e, w))
+        y, came = L.solve(v), a
+        a, e = S.norm(y), S.norm(w)
+        tangent = a / (turn * abs(beta))
+        cosine = 1 / np.sqrt(1 + tangent * tangent)
+        weight *= -came * cosine * cosine / (beta * turn * turn)
+        past = (share * cosine) ** 2
+        step = S.lin((weight, p)) if step is None else S.lin((weight, p), (past, step))
+        shift = S.lin((weight, image)) if shift is None else S.lin((weight, image), (past, shift))
+        x, r = S.lin((1, x), (1, step)), S.lin((1, r), (-1, shift))
+        turn, share = cosine, tangent
         c.advance()
     return S.give(x), c
 

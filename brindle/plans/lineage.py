@@ -5,10 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.errors import TooLarge
+from brindle.errors import BrindleError, TooLarge
 
 #: Rows of an operand that a step may broadcast or gather: 16 to 24 bytes each, so at most about 100 MB.
 BROADCAST_ROWS = 4_000_000
@@ -17,9 +17,11 @@ DENSE = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a session that names none is a local one."""
+    """The folder that driver and executors share, as the session names it. A local session that names none gets a folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise BrindleError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -48,3 +50,20 @@ def broadcast_if_small(df: DataFrame, size: int | None = None, most: int = BROAD
 def must_fit(rows: int, most: int, what: str) -> None:
     if rows > most:
         raise TooLarge(f"{what} has {rows} rows; this step holds {most} at most")
+
+
+def numbered(df: DataFrame, *order: Column, name: str = "k") -> DataFrame:
+    """df with its rank from 0 under a total order, as a column.
+
+    The rows are sorted in ranges and written; the ranges are counted (a row each), and numbered each by itself from where it begins.
+    """
+    keys = [f"_o{k}" for k in range(len(order))]
+    placed = cut(df.withColumns(dict(zip(keys, order, strict=True))).orderBy(*keys).withColumn("_range", F.spark_partition_id()))
+    first, total = [], 0
+    for r in placed.groupBy("_range").count().orderBy("_range").collect():
+        first += [F.lit(r["_range"]), F.lit(total)]
+        total += r["count"]
+    if not first:
+        return placed.withColumn(name, F.lit(0).cast("long")).drop("_range", *keys)
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
+    return placed.withColumn(name, (F.create_map(*first)[F.col("_range")] + within - 1).cast("long")).drop("_range", *keys)

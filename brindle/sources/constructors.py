@@ -134,8 +134,20 @@ def set_to_zero(x):
 
 
 def random(spark: SparkSession, shape: int | tuple[int, int], seed: int = 42, generator: Callable[[Column], Column] | None = None) -> Vector | Matrix:
-    """Uniform values in [0, 1), a function of seed and place: the same however the rows are dealt. `generator` maps them."""
-    uniform = lambda *at: (F.pmod(F.xxhash64(F.lit(seed), *at), F.lit(1 << 53)) / float(1 << 53))
+    """Uniform values in [0, 1), a function of seed and place: the same however the rows are dealt. `generator` maps them.
+
+    Multiplicative congruences by the prime 2**31 - 1, the place taken in twice, so neighbours are not related; all in 64-bit integers.
+    """
+    prime = F.lit((1 << 31) - 1).cast("long")
+
+    def uniform(*at: Column) -> Column:
+        state = F.lit(int(seed) % ((1 << 31) - 1)).cast("long")
+        for k in at:
+            k = k % prime
+            state = (k * 16807 + state * 48271 + 11) % prime
+            state = (state * 69621 % prime * 48271 + k) % prime
+        return (state * 69621 % prime).cast("double") / float((1 << 31) - 1)
+
     g = generator or (lambda u: u)
     if isinstance(shape, int):
         return Vector(spark.range(shape).select(F.col("id").alias("i"), g(uniform(F.col("id"))).alias("v")), shape)

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from brindle.core import Matrix, Vector
 from brindle.errors import IoError
-from brindle.sources.matrix_market import read_text
+from brindle.plans.lineage import numbered
+from brindle.sources.matrix_market import after, first_lines, read_text
 
 
 @dataclass(frozen=True)
@@ -51,43 +51,35 @@ class ElementStructure:
 
 
 def read_elements(spark: SparkSession, path: str) -> ElementStructure:
-    lines = read_text(spark, path)
-    head = lines.limit(2).collect()
+    head = first_lines(spark, path, 2)
     if not head or not head[0]["value"].split() or not head[0]["value"].split()[0].isdigit():
         raise IoError(f"{path} has no element count")
-    rows = lines.rdd.map(tuple)
-    blanks = rows.mapPartitionsWithIndex(lambda p, it: [(p, sum(1 for _, v in it if v == ""))]).collectAsMap()  # a number for each partition
-    before, total = {}, 0
-    for p in sorted(blanks):
-        before[p], total = total, total + blanks[p]
-
-    def number(p, it):
-        k = before[p]
-        for line, value in it:
-            if value == "":
-                k += 1
-            elif line > head[-1]["line"]:
-                yield k, line, value
-
-    numbered = spark.createDataFrame(rows.mapPartitionsWithIndex(number), "part long, line long, value string")
-    groups = numbered.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("ls"))  # the lines of one element
+    # Blank lines end an element, so its number is how many stand before it: counted by block of the file, then within each.
+    lines = read_text(spark, path).withColumn("block", F.struct("line.file", "line.start")).withColumn("blank", (F.col("value") == "").cast("long"))
+    before, total = [], 0
+    for r in lines.groupBy("block").agg(F.sum("blank").alias("n")).orderBy("block").collect():  # a row for each block
+        before.append((r["block"]["file"], r["block"]["start"], total))
+        total += r["n"]
+    base = F.broadcast(spark.createDataFrame(before, "file string, start long, base long").select(F.struct("file", "start").alias("block"), "base"))
+    running = F.sum("blank").over(Window.partitionBy("block").orderBy("line"))
+    counted = lines.withColumn("running", running).join(base, "block").filter((F.col("blank") == 0) & after(head[-1]["line"]))
+    parts = counted.select((F.col("base") + F.col("running")).alias("part"), "line", "value")
+    groups = parts.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("ls"))  # the lines of one element
     numbers = lambda text, kind: F.transform(F.split(text, r"\s+"), lambda x: x.cast(kind))
     parsed = groups.select(F.col("part").alias("elem_id"), numbers(F.col("ls")[0]["value"], "long").alias("idx"), F.transform(F.slice("ls", 2, F.size("ls")), lambda s: numbers(s["value"], "double")).alias("vals"))
-    ranked = parsed.orderBy("elem_id").rdd.zipWithIndex().map(lambda x: (x[1], x[0]["idx"], x[0]["vals"]))
-    schema = T.StructType([T.StructField("elem_id", T.LongType()), T.StructField("idx", T.ArrayType(T.LongType())), T.StructField("vals", T.ArrayType(T.ArrayType(T.DoubleType())))])
-    df = spark.createDataFrame(ranked, schema)
+    df = numbered(parsed, F.col("elem_id")).select(F.col("k").alias("elem_id"), "idx", "vals")
     nodes = df.select(F.explode("idx").alias("k")).agg(F.coalesce(F.max("k") + 1, F.lit(0))).first()[0]
     return ElementStructure(df, nodes)
 
 
 def write_elements(es: ElementStructure, path: str) -> None:
-    """As a folder of one text part, in the format that read_elements takes."""
+    """As a folder of text parts, one after another in the format that read_elements takes."""
     text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), " ")
     body = F.concat(F.array(text(F.col("idx"))), F.transform("vals", text), F.array(F.lit("")))
     lines = es.df.select("elem_id", F.posexplode(body).alias("k", "value"))
     spark = es.df.sparkSession
     head = spark.createDataFrame([(-1, 0, str(es.df.count())), (-1, 1, "elements")], "elem_id long, k int, value string")
-    head.union(lines).orderBy("elem_id", "k").coalesce(1).select("value").write.mode("overwrite").text(path)
+    head.union(lines).orderBy("elem_id", "k").select("value").write.mode("overwrite").text(path)
 
 
 def extract_elements(A: Matrix) -> ElementStructure:

@@ -6,12 +6,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.core import Matrix
 from brindle.errors import FileNotFound, IoError
 from brindle.functions import scalar as S
+from brindle.plans.lineage import numbered
 
 #: Lines at the start of a file among which header and sizes are looked for.
 HEAD = 10_000
@@ -19,7 +20,7 @@ HEAD = 10_000
 
 @dataclass(frozen=True)
 class Header:
-    """What the banner and the size line say; `line` is the number of the size line."""
+    """What the banner and the size line say; `line` is the place of the size line."""
 
     format: str
     field: str
@@ -27,22 +28,35 @@ class Header:
     nrows: int
     ncols: int
     entries: int
-    line: int
+    line: Row
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): non-blank lines of a text file with numbers that follow their order."""
+    """(line, value): lines of a text file, or of a folder of parts in the order of their names; `line` (file, start, id) follows their order."""
     try:
         lines = spark.read.text(path)
-        return lines.select(F.monotonically_increasing_id().alias("line"), F.trim("value").alias("value"))
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFound(path) from e
         raise
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    return lines.select(at.alias("line"), F.trim("value").alias("value"))
+
+
+def first_lines(spark: SparkSession, path: str, n: int) -> list:
+    """The first lines; only the first block of the first file is read."""
+    read_text(spark, path)
+    files = sorted(spark.read.text(path).inputFiles())
+    return read_text(spark, files[0]).filter("line.start = 0").limit(n).collect() if files else []
+
+
+def after(line) -> Column:
+    """Whether a line stands behind `line`."""
+    return F.col("line") > F.struct(F.lit(line["file"]).alias("file"), F.lit(line["start"]).cast("long").alias("start"), F.lit(line["id"]).cast("long").alias("id"))
 
 
 def header(spark: SparkSession, path: str) -> Header:
-    head = read_text(spark, path).limit(HEAD).collect()
+    head = first_lines(spark, path, HEAD)
     if not head or not head[0]["value"].lower().startswith("%%matrixmarket matrix"):
         raise IoError(f"{path} has no Matrix-Market banner")
     words = head[0]["value"].lower().split()
@@ -73,7 +87,7 @@ def read_matrix_market(spark: SparkSession, path: str, pattern_value: float = 0.
     """A matrix from a file. Pattern entries get pattern_value. keep(i, j) decides which stored entries are taken."""
     h = header(spark, path)
     kind = "complex" if h.field == "complex" else "real"
-    body = read_text(spark, path).filter((F.col("line") > h.line) & (F.col("value") != "") & ~F.col("value").startswith("%"))
+    body = read_text(spark, path).filter(after(h.line) & (F.col("value") != "") & ~F.col("value").startswith("%"))
     part = F.split("value", r"\s+")
     number = lambda k: part[k].cast("double")
     if h.format == "coordinate":
@@ -81,12 +95,7 @@ def read_matrix_market(spark: SparkSession, path: str, pattern_value: float = 0.
         cells = body.select((part[0].cast("long") - 1).alias("i"), (part[1].cast("long") - 1).alias("j"), v.alias("v"))
     else:
         v = S.complex_(number(0), number(1)) if kind == "complex" else number(0)
-        ranked = body.orderBy("line").select(v.alias("v")).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-        from pyspark.sql import types as T
-
-        from brindle.core import _value
-
-        values = spark.createDataFrame(ranked, T.StructType([T.StructField("k", T.LongType()), T.StructField("v", _value(kind))]))
+        values = numbered(body.select("line", v.alias("v")), F.col("line")).select("k", "v")
         cells = _array_places(values, h)
     if keep is not None:
         cells = cells.filter(keep(F.col("i"), F.col("j")))
@@ -106,7 +115,10 @@ def _array_places(values: DataFrame, h: Header) -> DataFrame:
 
 
 def write_matrix_market(A: Matrix, path: str, dense: bool = False) -> None:
-    """As a general file: coordinates by rows, or an array column by column. A folder of one text part."""
+    """As a general file: coordinates by rows, or an array column by column. A folder of text parts, which are the file one after another.
+
+    Parts are ranges of places, the header at the head of the first, so no task sees a whole matrix.
+    """
     field = "complex" if A.kind == "complex" else "real"
     v = F.concat_ws(" ", S.real("v").cast("string"), S.imag("v").cast("string")) if A.kind == "complex" else F.col("v").cast("string")
     if dense:
@@ -119,7 +131,7 @@ def write_matrix_market(A: Matrix, path: str, dense: bool = False) -> None:
         lines = A.df.select((F.col("i") * A.ncols + F.col("j")).alias("k"), F.concat_ws(" ", (F.col("i") + 1).cast("string"), (F.col("j") + 1).cast("string"), v).alias("value"))
         head = [f"%%MatrixMarket matrix coordinate {field} general", f"{A.nrows} {A.ncols} {A.df.count()}"]
     first = A.spark.createDataFrame([(k - len(head), x) for k, x in enumerate(head)], "k long, value string")
-    first.union(lines).orderBy("k").coalesce(1).select("value").write.mode("overwrite").text(path)
+    first.union(lines).orderBy("k").select("value").write.mode("overwrite").text(path)
 
 
 class MatrixFile:
