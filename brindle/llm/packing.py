@@ -1,5 +1,6 @@
 """Concatenate and cut: all documents' tokens end to end, cut into windows of one length.
 
+Any tokenizer file will do; texts are split into words and their ids kept only where by_words() finds that no id can change by it.
 Pass 1 tokenises each document once and writes its ids with the number of ids before it in its partition. The totals of
 the partitions (one row each) give, by a prefix sum, the global offset of every partition. Pass 2 adds the two, so every
 document knows its global offset without any shuffle or order, and cuts its ids at multiples of the window: each piece is a
@@ -12,6 +13,7 @@ may have any name. Which document follows which is not defined, apart from being
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -32,6 +34,13 @@ GLUED = 256
 KNOWN = 250_000
 
 
+#: How a tokenizer must prepare texts for the short cuts of text_ids to change no id.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: A broadcast row for each input split; beyond so many, they are joined by a shuffle.
+SPLITS = 1_000_000
+
+
 @cache
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,6 +49,15 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@cache
+def by_words(path: str, glue: str) -> bool:
+    """Whether the tokenizer lower-cases, drops white space, splits as SPLIT does, and knows `glue` as a special token."""
+    whole = json.loads(_tokenizer(path).to_str())
+    first, split = whole["normalizer"] or {}, ((whole["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+    drops = split.get("invert") is True and split.get("behavior") == "Removed" and split.get("pattern") == {"Regex": SPLIT}
+    return [x["type"] for x in first.get("normalizers", [])] == NORMALIZERS and drops and any(x["content"] == glue and x["special"] for x in whole["added_tokens"])
+
+
 def _encoded(distinct: list[str], path: str, glue: str) -> list[bytes]:
     """The ids of each word as unsigned 32-bit numbers.
 
@@ -112,7 +130,9 @@ def folded(texts: pa.Array) -> pa.Array:
 
 
 def text_ids(texts: pa.Array, path: str, glue: str, end_id: int) -> list[bytes]:
-    """The ids of each text and the end id, as little-endian unsigned 32-bit numbers."""
+    """The ids of each text and the end id, as little-endian unsigned 32-bit numbers. A tokenizer that is not by_words takes texts whole."""
+    if not by_words(path, glue):
+        return [np.asarray([*e.ids, end_id], "<u4").tobytes() for e in _tokenizer(path).encode_batch(texts.to_pylist(), add_special_tokens=False)]
     w = words(folded(texts))
     flat, bounds = word_ids(w.distinct.to_pylist(), path, glue)
     counts = np.diff(bounds)[w.codes]
@@ -150,6 +170,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, glue:
     for part, n in sorted(tuple(r) for r in totals.collect()):
         bases.append((part, base))
         base += n
+    few = len(bases) <= SPLITS
     bases = spark.createDataFrame(bases, "part int, base long")
     id_type = ids.schema["doc_id"].dataType
     kinds = (("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()))
@@ -169,7 +190,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, glue:
             own = [all_ids[r][4 * s : 4 * e] for r, s, e in zip(row, start, start + b - a, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(start), pa.array(b - a), pa.array(own, pa.binary()), pa.array(n[row]), pa.array(seq), pa.array(a - seq * window)], names=schema.names)
 
-    placed = ids.join(F.broadcast(bases), "part").select("doc_id", "ids", (F.col("base") + F.col("before")).alias("first"))
+    placed = ids.join(F.broadcast(bases) if few else bases.hint("merge"), "part").select("doc_id", "ids", (F.col("base") + F.col("before")).alias("first"))
     return placed.mapInArrow(cut, schema)
 
 

@@ -7,7 +7,8 @@ classifier's score (what share of the unlabelled could be positive at most).
 
 Inputs are measures of a whole text alone, worked out from word codes: shares of character kinds, repetition, lengths, and
 shares of hashed word shapes. Fitting takes at most `fit_rows` rows of each sample (smallest hash of the id; a documented bound).
-Scores are moved so that the threshold that tells the labelled rows of the fit folds apart best lies at 0.7.
+Scores are moved so that the threshold that tells the labelled rows of the fit folds apart best lies at 0.7: there, and only there, rows
+labelled 0 are used, so the ranking is learned from positives and unlabelled rows alone, the place of the threshold is not.
 
 Defined results: an empty or null text has all measures 0 and gets a score like any other; repeated rows are scored each;
 an empty table gives none; without positives every score is 0.5. Only the named columns are read.
@@ -191,8 +192,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = 4000,
     samples.append((bounded_sample(ids, fit_rows, "h"), -1))
     chosen = [s.select("id", F.lit(kind).alias("kind")).distinct() for s, kind in samples]
     chosen = chosen[0].union(chosen[1]).union(chosen[2])  # at most 3 * fit_rows rows
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("text", "kind")
-    rows = measured(rows, ["kind"]).limit(4 * fit_rows).collect()  # ids that repeat could give more
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    rows = measured(rows.select("text", "kind", F.xxhash64("id", "text").alias("h")), ["kind", "h"])
+    rows = rows.orderBy("h", "kind").limit(4 * fit_rows).collect()  # ids that repeat could give more; then the least hashes of id and text
     by = {k: np.array([r["x"] for r in rows if r["kind"] == k], np.float32).reshape(-1, N_FEATURES) for k in (1, 0, -1)}
     by = {k: x[np.lexsort(x.T)] for k, x in by.items()}  # whatever order they came in
     if not len(by[1]) or not len(by[-1]):

@@ -10,11 +10,20 @@ from brindle.llm.common import in_fold, table
 from brindle.llm.queries import tokenizer_path
 
 
+#: A document is rejected if the network gives its best language less than this share of the document's bytes.
+LANGUAGE_SCORE = 0.4
+
+
 def language_id_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told (`und`) go; all others stay, with every column as it was."""
+    """Documents in which no language can be told go: those without a letter, and those whose best language has a score below LANGUAGE_SCORE.
+
+    What stays has every column as it was, but that a null `lang` becomes the language that was told.
+    """
     model = language_id.fit(docs, ~in_fold(5, 0))
     whole = docs.select("doc_id", "text", F.struct("*").alias("whole"))
-    return language_id.predict(whole, model, keep=("whole",)).filter(F.col("lang_pred") != language_id.UND).select("whole.*")
+    told = language_id.predict(whole, model, keep=("whole",)).filter((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LANGUAGE_SCORE))
+    lang = F.coalesce("whole.lang", F.col("lang_pred").cast(docs.schema["lang"].dataType))
+    return told.select(*[(lang if c == "lang" else F.col("whole").getField(c)).alias(c) for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,4 +49,5 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.with_crc(packing.pack(docs, tokenizer_path()))
+    """A row per piece of a training sequence, with its token ids and their crc32. Null and empty texts are the end id alone; an empty table gives none."""
+    return packing.pack(docs, tokenizer_path()).withColumn("ids_crc32", F.crc32("ids"))

@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import new_path
+from brindle.llm.common import join_hot, new_path
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.0\r\n"
@@ -118,14 +118,14 @@ def _gzip(level: int):
 def records(pages: DataFrame, least: int = 0, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, html, refers_to: which rows revisit another page, the smallest id with an equal payload.
 
-    Only ids and digests are grouped and joined by payload; payloads move once, by id and digest, so a payload that many
-    pages share makes no large group of texts.
+    Only ids and digests are grouped and joined by payload, those of payloads that many pages share where they lie (join_hot); payloads
+    move once, by id and digest, so a payload that many pages share makes no large group of texts.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumn("key", F.sha1(F.encode("html", "utf-8")))
     slim = rows.filter(F.octet_length("html") >= least).groupBy("page_id", "key").count().drop("count")
-    first = slim.groupBy("key").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = slim.join(first, "key").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")) & F.col("refers_to").isNotNull())
+    first = slim.groupBy("key").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
+    again = join_hot(slim, first, "key", pages.count()).filter(~F.col("page_id").eqNullSafe(F.col("refers_to")) & F.col("refers_to").isNotNull())
     again = again.select(F.col("page_id").alias("again_id"), F.col("key").alias("again_key"), "refers_to")
     hint = rows.hint("merge")
     return hint.join(again.hint("merge"), F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("key") == F.col("again_key")), "left").select("page_id", "url", "html", "refers_to")

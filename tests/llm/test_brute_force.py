@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import columnar, decontaminate, gru, language_id, license_scan, near_dup, packing, quality_pu, queries, recurrent_lm, substring_dedup, warc
+from brindle.llm import columnar, decontaminate, gru, language_id, license_scan, near_dup, packing, quality_pu, queries, recurrent_lm, stages, substring_dedup, warc
 from brindle.llm.common import bounded_sample, table
 
 SF = "/root/testdata/sf0.001"
@@ -304,6 +305,16 @@ def test_folding_changes_no_id():
             assert np.frombuffer(ids, "<u4").tolist() == [*t.encode(text, add_special_tokens=False).ids, 1], text
 
 
+def test_other_tokenizers_take_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, texts = packing._tokenizer(path), ["", "Don't  STOP\n\n a b", "É x", "<|endoftext|> y"]
+    assert packing.by_words(queries.tokenizer_path(), "<|startoftext|>") and not packing.by_words(path, "<|startoftext|>")
+    for text, ids in zip(texts, packing.text_ids(pa.array(texts, pa.large_string()), path, "<|startoftext|>", 7), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == [*t.encode(text, add_special_tokens=False).ids, 7]
+
+
 def test_packing_has_every_id_once(spark, texts):
     t = packing._tokenizer(queries.tokenizer_path())
     want = {d: [*t.encode(x, add_special_tokens=False).ids, 1] for d, x in texts.items()}
@@ -415,6 +426,35 @@ def test_prior_and_quality_from_positives_alone():
     assert ((net.scores(unlabelled) >= quality_pu.THRESHOLD) == np.repeat([True, False], [2100, 900])).mean() > 0.97
 
 
+def brute_measures(text):
+    """The measures of one text, word by word."""
+    ws, kinds = WORD.findall(text), {"upper": "Lu", "lower": "Ll", "digit": "Nd"}
+    n, chars = len(ws), sum(map(len, ws))
+    of = [unicodedata.category(c) for w in ws for c in w]
+    seen = collections.Counter(ws)
+    lines = text.split("\n")
+    out = [sum(k == kind for k in of) / max(chars, 1) for kind in kinds.values()] + [sum(k[0] not in "LN" for k in of) / max(chars, 1)]
+    out += [math.log1p(n) / 10, chars / max(n, 1) / 20, len(seen) / max(n, 1), max(seen.values(), default=0) / max(n, 1), 1 - len(set(lines)) / len(lines), len(lines) / max(n, 1)]
+    out += [sum(a == b for a, b in zip(ws, ws[1:], strict=False)) / max(n, 1), sum(len(w) <= 3 for w in ws) / max(n, 1), sum(len(w) >= 15 for w in ws) / max(n, 1)]
+    shapes = collections.Counter(quality_pu._shape(w) for w in ws)
+    return out + [shapes[k] / max(n, 1) for k in range(quality_pu.SHAPES)]
+
+
+def test_quality_by_brute_force(spark, texts):
+    """The scores of whole texts against the same network over measures taken word by word, layer by layer."""
+    docs, train = table(spark, SF, "documents"), ~recurrent_lm.in_fold(4, 2, "doc_id")
+    net = quality_pu.fit(docs, table(spark, SF, "labels"), train)
+    got = {r["doc_id"]: r for r in quality_pu.score(docs, net).collect()}
+    assert got.keys() == texts.keys()
+    for d, t in texts.items():
+        x = np.array(brute_measures(t)) if WORD.findall(t) else np.zeros(quality_pu.N_FEATURES)
+        h = np.tanh((x - net.mean) / net.scale @ net.p["w1"] + net.p["b1"])
+        s = 1 / (1 + math.exp(-(float((h @ net.p["w2"])[0]) + float(net.p["b2"][0]) + net.shift)))
+        assert abs(s - got[d]["score"]) < 1e-4 and got[d]["predicted"] == int(got[d]["score"] >= 0.7)
+    again = quality_pu.fit(docs.repartition(5), table(spark, SF, "labels"), train)
+    assert all(np.allclose(again.p[k], net.p[k], atol=1e-5) for k in net.p)
+
+
 def test_quality_held_out(spark):
     rows = queries.op6_quality_pu(spark, "/root/testdata/sf0.01").join(table(spark, "/root/testdata/sf0.01", "labels"), "doc_id").filter("held_out").collect()
     assert sum(r["quality"] == r["predicted"] for r in rows) >= 0.9 * len(rows)
@@ -561,7 +601,7 @@ def test_pipeline(spark, texts):
     import corpus_pipeline
     from brindle.llm.common import written
 
-    docs = table(spark, SF, "documents")
+    docs = docs0 = table(spark, SF, "documents").withColumn("lang", F.when(F.col("doc_id") % 7 != 3, F.col("lang")))
     made = {}
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, written(stage(spark, docs, SF), name)
@@ -570,7 +610,11 @@ def test_pipeline(spark, texts):
             assert docs.columns == before.columns
     rows = lambda df: {r["doc_id"]: r["text"] or "" for r in df.collect()}
     before, after = map(rows, made["language_id"])
-    assert {d for d, t in before.items() if not any(c.isalpha() for c in t)} == before.keys() - after.keys()
+    told = {r["doc_id"]: r for r in language_id.predict(docs0, language_id.fit(docs0, ~recurrent_lm.in_fold(5, 0, "doc_id"))).collect()}
+    assert {d for d, r in told.items() if r["lang_pred"] == "und" or r["score"] < stages.LANGUAGE_SCORE} == before.keys() - after.keys()
+    assert {d for d, t in before.items() if not any(c.isalpha() for c in t)} <= before.keys() - after.keys()
+    langs = {r["doc_id"]: r["lang"] for r in docs0.collect()}
+    assert all(r["lang"] == (langs[r["doc_id"]] or told[r["doc_id"]]["lang_pred"]) for r in made["language_id"][1].collect())
     before, after = map(rows, made["near_dedup"])
     assert set(after) <= set(before) and len(set(after.values())) == len(after)
     before, after = map(rows, made["substring_dedup"])
@@ -580,7 +624,8 @@ def test_pipeline(spark, texts):
     hits = {r["doc_id"] for r in decontaminate.contamination(made["decontaminate"][0], table(spark, SF, "benchmark")).collect()}
     assert set(after) == set(before) - hits
     t = packing._tokenizer(queries.tokenizer_path())
-    sizes = collections.Counter()
-    for r in made["pack"][1].collect():
-        sizes[r["doc_id"]] += r["length"]
-    assert sizes == {d: len(t.encode(x, add_special_tokens=False).ids) + 1 for d, x in after.items()}
+    packed = collections.defaultdict(list)
+    for r in sorted(made["pack"][1].collect(), key=lambda r: r["start"]):
+        assert r["ids_crc32"] == zlib.crc32(r["ids"]) and len(r["ids"]) == 4 * r["length"]
+        packed[r["doc_id"]] += np.frombuffer(r["ids"], "<u4").tolist()
+    assert packed == {d: [*t.encode(x, add_special_tokens=False).ids, 1] for d, x in after.items()}
