@@ -267,43 +267,55 @@ class Imf:
         return x
 
 
+def _factored(kernel: _Kernel, i: np.ndarray, j: np.ndarray, v: np.ndarray, b: int, side: int, n: int) -> _Kernel:
+    """The factor of diagonal block b of `side` rows."""
+    own = copy.copy(kernel)
+    own.rows = own.factor(_rows(i - b * side, j - b * side, v, min(side, n - b * side)))
+    return own
+
+
 class BlockIlu:
-    """ILU(0) of every diagonal block of `side` rows, made and applied where the block lies: a grouped map, no gathering."""
+    """An incomplete factor (`kernel`: Ilu0, Ilut or Ic0) of every diagonal block of `side` rows, made and applied where the block lies: a grouped map, no gathering."""
 
-    def __init__(self, side: int = 4096):
-        self.side = side
+    def __init__(self, side: int = 4096, kernel: _Kernel | None = None):
+        self.side, self.kernel = side, kernel or Ilu0()
 
     def on(self, space) -> BlockIlu:
         self.space, side = space, self.side
         if hasattr(space, "i"):
             inside = space.i // side == space.j // side
-            self.blocks = {int(b): ilu_rows(_rows(*(x[inside & (space.i // side == b)] - o for x, o in ((space.i, b * side), (space.j, b * side))), space.v[inside & (space.i // side == b)], min(side, space.n - b * side))) for b in np.unique(space.i // side)}
+            parts = {int(b): inside & (space.i // side == b) for b in np.unique(space.i // side)}
+            self.blocks = {b: _factored(self.kernel, space.i[p], space.j[p], space.v[p], b, side, space.n) for b, p in parts.items()}
         else:
             block = lambda c: F.floor(F.col(c) / side)
             self.entries = cut(space.entries.filter(block("i") == block("j")).withColumn("b", block("i")))
         return self
 
-    def solve(self, r):
-        side, n = self.side, self.space.n
+    def _applied(self, r, how: str):
+        side, n, kernel = self.side, self.space.n, self.kernel
         if hasattr(self, "blocks"):
             out = r.copy()
-            for b, rows in self.blocks.items():
-                part = slice(b * side, b * side + len(rows))
-                out[part] = backward(rows, forward(rows, r[part], True))
+            for b, own in self.blocks.items():
+                part = slice(b * side, b * side + len(own.rows))
+                out[part] = getattr(own, how)(r[part])
             return out
 
         def apply(key, a: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
             b = int(key[0])
-            size = min(side, n - b * side)
-            rows = ilu_rows(_rows(a["i"].to_numpy() - b * side, a["j"].to_numpy() - b * side, a["v"].to_numpy(), size))
-            own = np.zeros(size)
+            own = np.zeros(min(side, n - b * side))
             own[x["i"].to_numpy(int) - b * side] = x["v"].to_numpy()
-            y = backward(rows, forward(rows, own, True))
-            return pd.DataFrame({"i": np.arange(size) + b * side, "v": y})
+            y = getattr(_factored(kernel, a["i"].to_numpy(), a["j"].to_numpy(), a["v"].to_numpy(), b, side, n), how)(own)
+            return pd.DataFrame({"i": np.arange(len(own)) + b * side, "v": y})
 
         x: DataFrame = r.withColumn("b", F.floor(F.col("i") / side))
         return cut(self.entries.groupBy("b").cogroup(x.groupBy("b")).applyInPandas(apply, "i long, v double"))
 
+    def solve(self, r):
+        return self._applied(r, "solve")
+
+    def adjoint_solve(self, r):
+        return self._applied(r, "adjoint_solve")
+
 
 class Concat:
     """Two preconditioners in turn: the second corrects what the first leaves of the residual."""

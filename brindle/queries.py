@@ -655,7 +655,8 @@ for _solver in K.SOLVERS:
     add(f"solve_{_solver}", _related(_solver, **({"s": 2} if _solver == "idr_s" else {})), _SPD_ONES)
     add(f"solve_{_solver}_grid", _krylov(_solver), _ONES.format(n=100))
 add("solve_bicgstab_diagonal", _related("bicgstab", PC.Diagonal), _SPD_ONES)
-add("solve_bicgstab_block_ilu", _related("bicgstab", lambda: PC.BlockIlu(64)), _SPD_ONES)
+for _name, _pc in {"block_ilu": lambda: PC.BlockIlu(64), "block_ilut": lambda: PC.BlockIlu(64, PC.Ilut(8, 0.001))}.items():
+    add(f"solve_bicgstab_{_name}", _related("bicgstab", _pc), _SPD_ONES)
 for _name, _pc in {"diagonal": PC.Diagonal, "ilu0": PC.Ilu0, "ilut": lambda: PC.Ilut(3, 0.001), "ic0": PC.Ic0, "imf": lambda: PC.Imf(2), "block_ilu": lambda: PC.BlockIlu(25), "concat": lambda: PC.Concat(PC.Diagonal(), PC.Ilu0()), "sub_matrix": lambda: PC.SubMatrix([k % 2 == 0 for k in range(100)], PC.Diagonal())}.items():
     add(f"bicgstab_{_name}", _krylov("bicgstab", _pc), _ONES.format(n=100))
 

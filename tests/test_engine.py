@@ -341,8 +341,10 @@ def test_solvers_on_relations(spark):
     assert np.allclose(x.local(), SM.Jacobi(A, local=True)(C.fill(spark, 6, 0.0), b, 2).local())
     g = SM.GaussSeidel(A, 1.2, local=False)(C.fill(spark, 6, 0.0), b, 2)
     assert np.allclose(g.local(), SM.GaussSeidel(A, 1.2, local=True)(C.fill(spark, 6, 0.0), b, 2).local())
-    blocks = PC.BlockIlu(4)
-    assert np.allclose(PC.BlockIlu(4).on(K.SparkSpace(A)).solve(b.df).orderBy("i").toPandas()["v"], blocks.on(K.LocalSpace(A)).solve(np.array(b.local())))
+    for kernel in (PC.Ilu0(), PC.Ic0(), PC.Ilut(2, 0.01)):
+        here, there = PC.BlockIlu(4, kernel).on(K.LocalSpace(A)), PC.BlockIlu(4, kernel).on(K.SparkSpace(A))
+        for how in ("solve", "adjoint_solve"):
+            assert np.allclose(getattr(there, how)(b.df).orderBy("i").toPandas()["v"], getattr(here, how)(np.array(b.local())))
 
 
 def test_control():
