@@ -6,6 +6,8 @@ of every diagonal block where it lies (`BlockIlu`), which no size stops.
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
