@@ -271,7 +271,7 @@ def _nation(spark, sf) -> tuple[Vector, Vector]:
 
 
 add("outer", lambda spark, sf: X.outer(*_nation(spark, sf)).df, f"WITH {_N} SELECT n.i, r.i AS j, n.v * r.v AS v FROM n CROSS JOIN r")
-add("kron", lambda spark, sf: X.kron(m_(spark, sf), X.outer(*_nation(spark, sf)[::-1])).df, f"WITH {M}, {_N}, b AS (SELECT r.i, n.i AS j, n.v * r.v AS v FROM r CROSS JOIN n) SELECT m.i * 5 + b.i AS i, m.j * 25 + b.j AS j, m.v * b.v AS v FROM m CROSS JOIN b")
+add("kron", lambda spark, sf: (lambda n, r: X.kron(X.outer(n, r), X.outer(r, n)))(*_nation(spark, sf)).df, f"WITH {_N}, a AS (SELECT n.i, r.i AS j, n.v * r.v AS v FROM n CROSS JOIN r) SELECT a.i * 5 + b.j AS i, a.j * 25 + b.i AS j, a.v * b.v AS v FROM a CROSS JOIN a b")
 add("rank_one_update", lambda spark, sf: (lambda n: X.rank_one_update(X.outer(n[1], n[1]), n[1], P.scale(2.0, n[1])))(_nation(spark, sf)).df, f"WITH {_N} SELECT a.i, b.i AS j, 3 * a.v * b.v AS v FROM r a CROSS JOIN r b")
 add("rank_two_update", lambda spark, sf: (lambda r: X.rank_two_update(X.outer(r, r), r, P.map_values(r, lambda v: v + 1)))(_nation(spark, sf)[1]).df, f"WITH {_N} SELECT a.i, b.i AS j, a.v * b.v + a.v * (b.v + 1) + (a.v + 1) * b.v AS v FROM r a CROSS JOIN r b")
 add("cross_product", lambda spark, sf: X.cross(P.sub_vector(_nation(spark, sf)[1], 0, 3), P.sub_vector(_nation(spark, sf)[1], 2, 5)).df, "SELECT CAST(0 AS BIGINT) AS i, CAST(3 * 9 - 5 * 7 AS DOUBLE) AS v UNION ALL SELECT 1, 5 * 5 - 1 * 9 UNION ALL SELECT 2, 1 * 7 - 3 * 5")
@@ -454,7 +454,7 @@ def scalar_mixed(spark, sf):
 _ERF = ", ".join(f"({k}, {math.erf(k / 10)!r}, {math.erfc(k / 10)!r})" for k in range(-40, 41))
 
 
-@query(f"SELECT s_suppkey AS i, round(e, 10) + 0.0 AS erf, round(c, 10) + 0.0 AS erfc FROM supplier JOIN (VALUES {_ERF}) t(k, e, c) ON k = CAST(s_suppkey % 81 - 40 AS INTEGER)")
+@query(f"SELECT s_suppkey AS i, round(CAST(e AS DOUBLE), 10) + 0.0 AS erf, round(CAST(c AS DOUBLE), 10) + 0.0 AS erfc FROM supplier JOIN (VALUES {_ERF}) t(k, e, c) ON k = CAST(s_suppkey % 81 - 40 AS INTEGER)")
 def error_functions(spark, sf):
     x = (F.col("s_suppkey") % 81 - 40) / 10
     return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("i"), (F.round(S.erf(x), 10) + 0.0).alias("erf"), (F.round(S.erfc(x), 10) + 0.0).alias("erfc"))
@@ -841,7 +841,7 @@ def printing_sizes(spark, sf):
         missing = False
     except FileNotFound:
         missing = True
-    return _rows_of(spark, [(printing.print_size(A), missing, "Aggregate" in printing.plan_text(A), "digraph" in printing.plan_graph(A))], "width int, missing boolean, plan boolean, graph boolean")
+    return _rows_of(spark, [(printing.print_size(A), missing, "Aggregate" in printing.plan_text(A), "digraph" in printing.plan_graph(A))], "width long, missing boolean, plan boolean, graph boolean")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
