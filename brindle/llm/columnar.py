@@ -92,6 +92,13 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def keep_memory() -> None:
+    """Has this process keep arrays of up to some MB when they are freed, for tasks that make the same ones over and over: fresh pages cost more than the work on them."""
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        for option, size in ((-3, 8 << 20), (-1, 64 << 20)):  # its thresholds for pages of their own, and for giving back the heap's end
+            ctypes.CDLL(None).mallopt(option, size)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finish of 64-bit values (the splitmix64 constants)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -122,12 +122,9 @@ def backward(p: dict[str, np.ndarray], kept, dstates: np.ndarray) -> dict[str, n
         if starts is not None:
             dh *= starts[t][:, None]
     rows = np.concatenate([dg[:, 0], dg[:, 1], dc], 2).reshape(-1, 3 * n)
-    flat = symbols.ravel()
-    order = np.argsort(flat.astype(np.uint16) if len(p["x"]) <= 1 << 16 else flat, kind="stable")
-    first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-    grads = {"x": np.zeros_like(p["x"]), "hg": before.reshape(-1, n).T @ rows[:, : 2 * n], "hc": reset.reshape(-1, n).T @ rows[:, 2 * n :]}
-    grads["x"][flat[order][first]] = np.add.reduceat(rows[order], first)
-    return grads
+    cells = (symbols.reshape(-1, 1) * (3 * n) + np.arange(3 * n)).ravel()
+    x = np.bincount(cells, rows.ravel(), p["x"].size).reshape(p["x"].shape).astype(kind)
+    return {"x": x, "hg": before.reshape(-1, n).T @ rows[:, : 2 * n], "hc": reset.reshape(-1, n).T @ rows[:, 2 * n :]}
 
 
 class Adam:

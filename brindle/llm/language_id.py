@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.columnar import plain, sliced
+from brindle.llm.columnar import keep_memory, plain, sliced
 from brindle.llm.common import id_text, long_rows
 from brindle.llm.gru import Adam, Reader, backward, forward, glorot, new_layer
 
@@ -185,6 +185,7 @@ def predict(docs: DataFrame, model: ByteBiGru | None, id_col: str = "doc_id", te
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size for each label
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         model = shared.value
         for batch in sliced(batches):
             texts = plain(batch.column(1))

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.columnar import plain, sliced, words
+from brindle.llm.columnar import give_back, keep_memory, plain, sliced, words
 from brindle.llm.common import bounded_sample, id_text, in_fold, long_rows, new_path, written
 from brindle.llm.gru import Adam, Reader, backward, forward, glorot, new_layer
 
@@ -51,7 +51,7 @@ HIDDEN = 16
 WINDOW = 16
 LANES = 128
 #: Of a block, which is longer than the driver's sample.
-BLOCK_LANES = 256
+BLOCK_LANES = 512
 BLOCK_BYTES = 4 << 20
 #: Text bytes of a task that reads blocks back, about.
 TASK_BYTES = 64 << 20
@@ -92,37 +92,52 @@ class ClassLM:
         return {k: self.p[k] for k in ("x", "hg", "hc")}
 
     @staticmethod
-    def _softmax(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities, and the logarithm of the target's."""
-        logits = logits - logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1, keepdims=True)
-        return e / total, logits[np.arange(len(target)), target] - np.log(total[:, 0])
+    def _softmax(logits: np.ndarray, target: np.ndarray, bounded: bool) -> np.ndarray:
+        """The logarithm of each target's probability; the logits become exponentials over their sums. bounded: none can overflow."""
+        if not bounded:
+            logits -= logits.max(1, keepdims=True)
+        own = logits[np.arange(len(target)), target]
+        np.exp(logits, out=logits)
+        total = logits @ np.ones(logits.shape[1], logits.dtype)
+        logits *= (1 / total)[:, None]
+        return own - np.log(total)
 
     def output(self, states: np.ndarray, target: np.ndarray, grads: dict[str, np.ndarray] | None = None):
         """log p(target | state) of each row; with grads also what minus their sum has for a gradient at the states."""
-        cls = self.cls[target]
-        prob, logp = self._softmax(states @ self.p["wc"] + self.p["bc"], cls)
-        dstates = None
+        cls, w, b = self.cls[target], self.p["wo"], self.p["bo"]
+        order = np.argsort(cls.astype(np.uint16) if len(self.start) < 1 << 16 else cls, kind="stable")
+        states, target, cls = states[order], target[order], cls[order]
+        # A state's parts are below 1, so a logit is at most its bias and its weights' magnitudes.
+        bounded = max((np.abs(self.p["wc"]).sum(0) + np.abs(self.p["bc"])).max(), (np.abs(w).sum(1) + np.abs(b)).max()) < 40
+        prob = states @ self.p["wc"]
+        prob += self.p["bc"]
+        logp, dstates = self._softmax(prob, cls, bounded), None
         if grads is not None:
             prob[np.arange(len(cls)), cls] -= 1
             grads["wc"] += states.T @ prob
             grads["bc"] += prob.sum(0)
             dstates = prob @ self.p["wc"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(len(self.start)))
+        cuts = np.searchsorted(cls, np.arange(len(self.start)))
         for c in np.flatnonzero(np.diff(cuts)):
-            rows, a, b = order[cuts[c] : cuts[c + 1]], self.start[c], self.start[c + 1]
-            if b - a == 1:
+            rows, own = slice(cuts[c], cuts[c + 1]), slice(self.start[c], self.start[c + 1])
+            if own.stop - own.start == 1:
                 continue
-            prob, own = self._softmax(states[rows] @ self.p["wo"][a:b].T + self.p["bo"][a:b], target[rows] - a)
-            logp[rows] += own
+            h, t = states[rows], target[rows] - own.start
+            prob = h @ w[own].T
+            prob += b[own]
+            logp[rows] += self._softmax(prob, t, bounded)
             if grads is not None:
-                prob[np.arange(len(rows)), target[rows] - a] -= 1
-                grads["wo"][a:b] += prob.T @ states[rows]
-                grads["bo"][a:b] += prob.sum(0)
-                dstates[rows] += prob @ self.p["wo"][a:b]
-        return logp, dstates
+                prob[np.arange(len(t)), t] -= 1
+                grads["wo"][own] += prob.T @ h
+                grads["bo"][own] += prob.sum(0)
+                dstates[rows] += prob @ w[own]
+        back = np.empty_like(logp)
+        back[order] = logp
+        if grads is not None:
+            given = np.empty_like(dstates)
+            given[order] = dstates
+            dstates = given
+        return back, dstates
 
     def gradients(self, before: np.ndarray, target: np.ndarray, h: np.ndarray):
         """Of the mean loss of a window (steps, lanes) from the state h; the loss and the last state. A lane starts anew after an end token."""
@@ -286,6 +301,7 @@ def fit(docs: DataFrame, coded: DataFrame, counts: Counts, fit_docs: int = 800,
         """Every block goes on from the common model; the sum of the task's blocks' parameters, times the tokens they saw."""
         from pyspark import TaskContext
 
+        keep_memory()
         (common, known), total, seen = shared.value, 0.0, 0
         for batch in batches:
             for k in range(batch.num_rows):
@@ -303,6 +319,7 @@ def fit(docs: DataFrame, coded: DataFrame, counts: Counts, fit_docs: int = 800,
                     stream = stream[lanes * length :]
                 total = total + np.concatenate([own.p[k].ravel() for k in names]).astype("<f8") * tokens
                 seen += tokens
+        give_back()
         if not seen:
             return
         part = TaskContext.get().partitionId()
@@ -350,6 +367,7 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         """One block, and the counts of its words outside the vocabulary."""
+        keep_memory()
         model, known = shared.value
         row = {c: left.column(c)[0] for c in ("ids", "held", "bounds", "codes", "words")}
         bounds, codes = np.frombuffer(row["bounds"].as_buffer(), "<i4").astype(np.int64), np.frombuffer(row["codes"].as_buffer(), "<i4")
@@ -365,6 +383,7 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
             spelled = np.where(ids == len(known.words), np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1))), 0.0)
             total = model.score(ids[codes], bounds) / np.log(10) + per(spelled)
         n = len(bounds) - 1
+        give_back()
         columns = (row["ids"].values, row["held"].values, np.diff(bounds), per((c > 0).astype(float)).astype(np.int64), np.full(n, known.tokens), base, total)
         return pa.table({k: pa.array(x, t) for (k, t), x in zip(kinds, columns, strict=True)})
 
