@@ -37,7 +37,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges, before = written(edges, "edges"), None
     most = edges.count()  # steps never add an edge
     while True:
-        edges = written(_star(_star(edges, True, most), False, most), "edges", most)
+        for large in (True, False):  # each written: the plan of one inside the other's would be repeated for every use of its rows
+            edges = written(_star(edges, large, most), "edges", most)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -340,10 +340,10 @@ def near_classes(rows: DataFrame, threshold: float = 0.8, repeated: bool = False
     signed = written(signatures(rows, table), "signatures").dropDuplicates(["key"]) if repeated else written(signatures(rows, table), "signatures")
     full = signed.filter("n_words > 0").select("key", F.struct("h1", "h2").alias("h"))
     n_docs = signed.count()
-    lead = full.groupBy("h").agg(F.min("key").alias("lead"), F.count("*").alias("n"))
+    lead = written(full.groupBy("h").agg(F.min("key").alias("lead"), F.count("*").alias("n")), "lead", n_docs)
     member = join_hot(full, lead, "h", n_docs).select("key", "lead")
     leads = signed.join(lead.select(F.col("lead").alias("key")).hint("merge"), "key", "left_semi")
-    placed = leads.select("key", F.posexplode("buckets").alias("band", "bucket"))
+    placed = written(leads.select("key", F.posexplode("buckets").alias("band", "bucket")), "placed", BANDS * n_docs)
     least = placed.groupBy("bucket").agg(F.min("key").alias("b"), F.count("*").alias("n")).filter("n > 1")
     shared = written(join_hot(placed, least, "bucket", BANDS * n_docs), "buckets", BANDS * n_docs)
     n_shared = shared.count()
