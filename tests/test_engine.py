@@ -756,5 +756,8 @@ def test_products_by_strips_against_numpy(spark, monkeypatch):
     assert np.allclose(X.mult_add(A, B, D_).local(), a @ b + c)
     m = np.where(rng.random((9, 9)) < 0.3, rng.integers(-2, 3, (9, 9)), 0).astype(float)
     assert np.allclose(X.matrix_power(Matrix.of(spark, m.tolist()), 3).local(), m @ m @ m)
+    nilpotent = np.diag([1.0, 1.0], 1)  # a product without an entry, on the way
+    assert np.allclose(X.matrix_power(Matrix.of(spark, nilpotent.tolist()), 4).local(), np.zeros((3, 3)))
+    assert X.matrix_power(Matrix.of(spark, np.zeros((3, 3)).tolist()), 3).df.count() == 0
     with pytest.raises(errors.IncompatibleSize):
         X.mult_add(A, A, X.spmm(A, B))
